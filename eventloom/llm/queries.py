@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, license_scan, toxicity
 from .common import scratch_path
+from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .sampling import crc_part
 from .token_records import with_starts, write_records
 
 END_ID = 2
@@ -24,15 +27,41 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = crc_part(F.col("doc_id"), 3) == 1
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.with_language(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_records(documents(spark, sf_dir), scratch_path(spark, "records"), tokenizer_path(), END_ID)
     return with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held_out = crc_part(F.col("doc_id"), 4) == 2
+    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    found = toxicity.with_toxicity(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids", F.array_min("distances").alias("min_distance"))
+
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(norm) AS text_sha256
@@ -41,7 +70,11 @@ WINDOW g AS (PARTITION BY norm)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
+    "op2_language_id": op2_language_id,
     "op3_token_records": op3_token_records,
+    "op4_toxicity": op4_toxicity,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op9_exact_dedup": OP9_SQL}

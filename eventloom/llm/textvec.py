@@ -19,7 +19,6 @@ def random64(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = random64(11, 256)
-_BYTE_WORD = np.where(SPACE, np.uint64(0), _BYTE)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 2**64)
 _GRAM = 0xD1342543DE82EF95
@@ -50,10 +49,10 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a run of texts: byte range of each, hash of each, and the first word of each text."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, space: np.ndarray = SPACE):
         self.data = data = LOWER[data] if lower else data
-        self.offsets = offsets
-        inside = ~SPACE[data] if len(data) else np.zeros(0, bool)
+        self.offsets, self.space = offsets, space
+        inside = ~space[data] if len(data) else np.zeros(0, bool)
         before, after = np.zeros_like(inside), np.zeros_like(inside)
         before[1:], after[:-1] = inside[:-1], inside[1:]
         cuts = offsets[1:-1]
@@ -80,11 +79,12 @@ class Words:
         lo = int(self.starts[0])
         spans = np.diff(np.append(self.starts, len(self.data)))
         place = np.arange(len(self.data) - lo, dtype=np.int32) - np.repeat((self.starts - lo).astype(np.int32), spans)
-        values = _BYTE_WORD[self.data[lo:]]
+        values = np.where(self.space, np.uint64(0), _BYTE)[self.data[lo:]]
         values *= powers(_BASE, int(spans.max()))[place]
         return mix(np.add.reduceat(values, self.starts - lo))
 
-    def grams(self, hashes: np.ndarray, n: int) -> np.ndarray:
+    @staticmethod
+    def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         """Hash of the n words from each word on; it is of use only where whole() is true."""
         if len(hashes) < n:
             return np.zeros(len(hashes), np.uint64)
