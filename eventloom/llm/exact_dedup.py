@@ -29,9 +29,8 @@ def folded(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def chunks(text: Column, cut: str = CUT, most: int = CHUNK) -> Column:
-    """Content-defined chunks whose concatenation is the text; at least one."""
-    pieces = F.split(text, cut)
+def bounded(pieces: Column, most: int = CHUNK) -> Column:
+    """pieces, with those over `most` characters cut at that length from their own start."""
     parts = F.flatten(F.transform(pieces, lambda p: F.when(F.length(p) <= most, F.array(p)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / most).cast("int")), lambda i: F.substring(p, i * most + 1, most)))))
     return F.when(F.exists(pieces, lambda p: F.length(p) > most), parts).otherwise(pieces)
 
@@ -44,7 +43,8 @@ def recipes(docs: DataFrame, cut: str = CUT, most: int = CHUNK, hash_bits: int =
     low = F.lit((1 << hash_bits) - 1 if hash_bits < 64 else -1)
     ident = lambda c: F.xxhash64(c).bitwiseAND(low)
     base = docs.select("doc_id", folded(F.col("text")).alias("__norm"))
-    cuts = base.select("doc_id", "__norm", chunks(F.col("__norm"), cut, most).alias("__chunks"))
+    # the cut pieces are a column of their own: used more than once, it is made once
+    cuts = base.select("doc_id", "__norm", F.split("__norm", cut).alias("__pieces")).select("doc_id", "__norm", bounded(F.col("__pieces"), most).alias("__chunks"))
     distinct = cuts.select(F.explode("__chunks").alias("chunk")).select(ident(F.col("chunk")).alias("h"), "chunk").distinct()
     shared = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "chunk-clashes")
     plain = cuts.select("doc_id", F.sha2("__norm", 256).alias("text_sha256"), F.transform("__chunks", lambda c: ident(c)).alias("recipe"), "__chunks")
@@ -60,9 +60,7 @@ def recipes(docs: DataFrame, cut: str = CUT, most: int = CHUNK, hash_bits: int =
 
 def exact_dedup(docs: DataFrame, **options) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row: of equal texts the largest doc_id stays."""
-    made = recipes(docs.select("doc_id", "text"), **options)
-    if options.get("hash_bits", 64) < 64:
-        made = written(made, "recipes")
+    made = written(recipes(docs.select("doc_id", "text"), **options), "recipes")
     groups = made.groupBy("recipe").agg(F.max("doc_id").alias("keep"), F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = written(groups, "recipe-groups")
     return made.join(groups, "recipe", "left").select(
