@@ -80,12 +80,12 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEM
     texts = docs.where("text IS NOT NULL").select("doc_id", normal(F.col("text")).alias("text"))
     lines = F.split("text", "\n")
     # a unit of n words has n - 1 bigrams at most, so those with too few spaces go before any is made
-    units = texts.select("doc_id", F.posexplode(F.concat(F.array("text"), F.when(F.size(lines) > 1, lines).otherwise(F.array()))).alias("line", "unit"))
+    units = texts.select("doc_id", F.posexplode_outer(F.concat(F.array("text"), F.when(F.size(lines) > 1, lines).otherwise(F.array()))).alias("line", "unit"))
     units = units.select("doc_id", (F.col("line") - 1).alias("line"), F.translate("unit", "\n", " ").alias("unit"))
     units = units.select("doc_id", "line", F.regexp_replace(F.trim("unit"), " +", " ").alias("unit")).where(F.length("unit") - F.length(F.translate("unit", " ", "")) >= least)
     worded = units.select("doc_id", "line", "unit", F.split("unit", " ").alias("words"))
     sized = worded.select("doc_id", "line", "unit", bigrams(F.col("words")).alias("pairs")).where(F.size("pairs").between(least, most))
-    shared = sized.select("doc_id", "line", "unit", F.size("pairs").alias("n"), F.explode("pairs").alias("bigram")).join(F.broadcast(table), "bigram")
+    shared = sized.select("doc_id", "line", "unit", F.size("pairs").alias("n"), F.explode_outer("pairs").alias("bigram")).join(F.broadcast(table), "bigram")
     shared = shared.where((F.col("size") >= F.col("n") * (threshold / (2 - threshold))) & (F.col("size") <= F.col("n") * ((2 - threshold) / threshold)))
     unit = F.xxhash64("unit").alias("unit")
     counts = shared.groupBy("doc_id", "line", unit, "n", "template", "license", "size").agg(F.countDistinct("bigram").alias("both"))

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, license_scan, toxicity
+from . import language_id, license_scan, lm_scoring, mixing, toxicity
 from .common import scratch_path
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .ngram_join import similar_components
 from .sampling import crc_part
+from .substring_dedup import digest, without_repeats
 from .token_records import with_starts, write_records
 
 END_ID = 2
@@ -53,6 +55,27 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(documents(spark, sf_dir), n=4, percent=85)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(without_repeats(documents(spark, sf_dir)))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = crc_part(F.col("doc_id"), 10)
+    docs = documents(spark, sf_dir).select("doc_id", "text", (part != 0).alias("train"))
+    found = lm_scoring.score(docs)
+    held_out = F.coalesce(part == 0, F.lit(False)).alias("held_out")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
@@ -74,6 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_token_records": op3_token_records,
     "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
