@@ -53,7 +53,7 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60, de
                         left_g = np.cumsum(np.bincount(binned[mine, f], g[mine], len(e) + 1))[:-1]
                         left_h = np.cumsum(np.bincount(binned[mine, f], h[mine], len(e) + 1))[:-1]
                         gain = left_g**2 / (left_h + l2) + (gs - left_g) ** 2 / (hs - left_h + l2) - gs**2 / (hs + l2)
-                        gain[(left_h < 1e-3) | (hs - left_h < 1e-3)] = 0
+                        gain[(left_h < 1.0) | (hs - left_h < 1.0)] = 0  # a leaf needs some evidence
                         if gain.max() > best:
                             best, split = gain.max(), (f, int(gain.argmax()))
             if split:

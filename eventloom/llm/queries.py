@@ -50,7 +50,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = crc_part(F.col("doc_id"), 4) == 2
-    model = toxicity.fit(docs.where(~held_out).join(labels, "doc_id"))
+    model = toxicity.fit(docs, labels.where(~held_out))
     found = toxicity.with_toxicity(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 

@@ -162,10 +162,11 @@ def _dense(table: Lexicon):
     return each
 
 
-def fit(rows: DataFrame, per_label: int = PER_LABEL, seed: int = 5) -> Model:
-    """rows: doc_id, text, toxic (0 or 1)."""
-    rows = rows.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
-    sample, counts = per_class(rows, "toxic", "doc_id", per_label, seed)
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, seed: int = 5) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic (0 or 1). The sample is drawn from labels alone, so that only its few rows meet the texts, by broadcast."""
+    labels = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    sample, counts = per_class(labels, "toxic", "doc_id", per_label, seed)
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
     sample = written(sample, "labelled-sample")
     got = sorted(map_arrow(sample, _evidence, "doc_id long, toxic int, kind long, words binary").collect(), key=tuple)
     y = np.array([r["toxic"] for r in got], np.int64)
