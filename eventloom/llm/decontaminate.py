@@ -10,7 +10,7 @@ read once a block, nothing is shuffled, and what Python holds is a slice of a fe
 
 Nulls: null and empty texts, and documents without a word, are clean; items without a word match nothing. Each row is
 judged on its own text, so repeated rows and a null doc_id do no harm. An empty table gives no row. Extra columns
-are kept aside.
+are kept, but for those named as the result's, which are replaced.
 """
 
 from __future__ import annotations
@@ -144,6 +144,7 @@ def blocks(benchmark: DataFrame, most_items: int = BLOCK_ITEMS, most_bytes: int
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, piece: int = PIECE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """docs (with a string column text) plus item_ids (array<long>, ascending), distances and ends (arrays beside it: word after the passage)."""
     spark = docs.sparkSession
+    docs = docs.drop("__hits", "item_ids", "distances", "ends")
     hits = "array<struct<item: bigint, distance: int, end: int>>"
     found = docs.withColumn("__hits", F.array().cast(hits))
     kind = pa.list_(pa.struct([("item", pa.int64()), ("distance", pa.int32()), ("end", pa.int32())]))
