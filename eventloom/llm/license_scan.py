@@ -3,7 +3,7 @@
 Units of a document are its lines and, as one more, its whole text (line -1). A unit's words are its runs of a-z and 0-9
 after A-Z are lower-cased; its bigrams are distinct pairs of neighbours. Dice >= t needs a template's bigrams to number
 between t / (2 - t) and (2 - t) / t times the unit's, so a unit is compared with templates of such sizes alone, and units
-outside all sizes are dropped before any bigram is made. The templates are a fixed table of a few kilobytes and are the only
+that can't be of any such size go before their bigrams are made. The templates are a fixed table of a few kilobytes and are the only
 side that is broadcast; what remains after that join are shared bigrams, a few rows, so all shuffles are small.
 
 Nulls: null and empty texts match nothing. Rows repeated with one doc_id are one document and get its matches each; a
@@ -63,11 +63,12 @@ def bounds(threshold: float, templates=TEMPLATES) -> tuple[int, int]:
 
 def normal(text: Column) -> Column:
     """Line by line, words of a-z and 0-9 with one space between."""
-    return F.regexp_replace(F.translate(text, UPPER, LOWER), "[^a-z0-9\n]+", " ")
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.regexp_replace(low, "[^a-z0-9\n]+", " ")
 
 
 def bigrams(words: Column) -> Column:
-    """Distinct pairs of neighbours. No lambda reads the whole array, so it is not made anew for each word wherever Catalyst moves this."""
+    """Distinct pairs of neighbours of an array of words (a lambda's variable, so that it is made once)."""
     rest = F.greatest(F.size(words) - 1, F.lit(0))
     return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)))
 
@@ -78,17 +79,18 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEM
     table = spark.createDataFrame(template_bigrams(templates), "template int, license string, size int, bigram string")
     least, most = bounds(threshold, templates)
     texts = docs.where("text IS NOT NULL").select("doc_id", normal(F.col("text")).alias("text"))
-    lines = F.split("text", "\n")
-    # a unit of n words has n - 1 bigrams at most, so those with too few spaces go before any is made
-    units = texts.select("doc_id", F.posexplode_outer(F.concat(F.array("text"), F.when(F.size(lines) > 1, lines).otherwise(F.array()))).alias("line", "unit"))
-    units = units.select("doc_id", (F.col("line") - 1).alias("line"), F.translate("unit", "\n", " ").alias("unit"))
-    units = units.select("doc_id", "line", F.regexp_replace(F.trim("unit"), " +", " ").alias("unit")).where(F.length("unit") - F.length(F.translate("unit", " ", "")) >= least)
-    worded = units.select("doc_id", "line", "unit", F.split("unit", " ").alias("words"))
-    sized = worded.select("doc_id", "line", "unit", bigrams(F.col("words")).alias("pairs")).where(F.size("pairs").between(least, most))
+    split = texts.select("doc_id", F.regexp_replace("text", "[ \n]+", " ").alias("whole"), F.split("text", "\n").alias("lines"))
+    units = F.concat(F.array("whole"), F.when(F.size("lines") > 1, F.col("lines")).otherwise(F.array().cast("array<string>")))
+    worded = F.transform(units, lambda u: F.split(F.trim(u), " "))
+    # n words have n - 1 bigrams at most, and at least one less than there are distinct words in any part of them
+    few = lambda w: F.size(F.array_distinct(F.slice(w, F.lit(1), F.lit(4 * most)))) <= most + 1
+    pairs = F.transform(worded, lambda w: F.when((F.size(w) > least) & ((F.size(w) <= most + 1) | few(w)), bigrams(w)).otherwise(F.array().cast("array<string>")))
+    # bigrams are made in the generator, below which no filter can move and make them again
+    made = split.select("doc_id", F.posexplode_outer(pairs).alias("line", "pairs"))
+    sized = made.where(F.size("pairs").between(max(1, least), most)).select("doc_id", (F.col("line") - 1).alias("line"), F.xxhash64("pairs").alias("unit"), "pairs")
     shared = sized.select("doc_id", "line", "unit", F.size("pairs").alias("n"), F.explode_outer("pairs").alias("bigram")).join(F.broadcast(table), "bigram")
     shared = shared.where((F.col("size") >= F.col("n") * (threshold / (2 - threshold))) & (F.col("size") <= F.col("n") * ((2 - threshold) / threshold)))
-    unit = F.xxhash64("unit").alias("unit")
-    counts = shared.groupBy("doc_id", "line", unit, "n", "template", "license", "size").agg(F.countDistinct("bigram").alias("both"))
+    counts = shared.groupBy("doc_id", "line", "unit", "n", "template", "license", "size").agg(F.countDistinct("bigram").alias("both"))
     dice = 2.0 * F.col("both") / (F.col("n") + F.col("size"))
     return counts.where(dice >= threshold).select("doc_id", "line", "license", "template", dice.alias("dice"))
 
