@@ -162,43 +162,41 @@ def field_of(event: Typed, path: str) -> Typed | None:
     return v
 
 
-def yes(c: Column) -> Column:
-    return F.coalesce(c, F.lit(False))
-
-
 def wild(text: str) -> str:
     return "".join(".*" if x == "*" else "." if x == "?" else re.escape(unescaped(x)) for x in re.findall(r"\\.|.", text, re.S))
 
 
-def predicate(query: str, event: Typed) -> Column:
-    return lowered(parse(query), event)
+def predicate(query: str, event: Typed, sure: bool = False) -> Column:
+    """The query as a filter's condition, null where a field is missing, so that comparisons are open to pushdown; sure: false instead."""
+    return lowered(parse(query), event, sure)
 
 
-def lowered(node, event: Typed) -> Column:
+def lowered(node, event: Typed, sure: bool) -> Column:
     if isinstance(node, tuple):
         how, inner = node
         if how == "not":
-            return ~lowered(inner, event)
-        cols = [lowered(x, event) for x in inner]
+            return ~lowered(inner, event, True)
+        cols = [lowered(x, event, sure) for x in inner]
         out = cols[0]
         for c in cols[1:]:
             out = out & c if how == "and" else out | c
         return out
-    return leaf(node, event)
+    found = leaf(node, event)
+    return F.coalesce(found, F.lit(False)) if sure else found
 
 
 def leaf(t: Term, event: Typed) -> Column:
     if t.how in ("all", "none"):
         return F.lit(t.how == "all")
     if t.how == "missing":
-        return ~leaf(Term(t.field, "", "exists"), event)
+        return ~F.coalesce(leaf(Term(t.field, "", "exists"), event), F.lit(False))
     if t.field is None or t.field == "*":
-        out = F.lit(False)
+        out = None
         for name in DEFAULT_FIELDS:
             v = field_of(event, name)
             if v is not None:
-                out = out | worded(t, v)
-        return out
+                out = worded(t, v) if out is None else out | worded(t, v)
+        return F.lit(False) if out is None else out
     if t.field.startswith("@"):
         v = field_of(event, t.field[1:])
         return F.lit(False) if v is None else on_value(t, v, numbers=True)
@@ -206,7 +204,7 @@ def leaf(t: Term, event: Typed) -> Column:
         v = field_of(event, "tags")
         if v is None or v.kind.tag != "array":
             return F.lit(False)
-        return yes(F.exists(v.col, lambda x: x == t.value)) if t.how in ("term", "phrase") else yes(F.exists(v.col, lambda x: on_text(t, x)))
+        return (F.exists(v.col, lambda x: x == t.value)) if t.how in ("term", "phrase") else (F.exists(v.col, lambda x: on_text(t, x)))
     if t.field in RESERVED:
         v = field_of(event, t.field)
         return F.lit(False) if v is None else worded(t, v) if t.field == "message" else on_value(t, v, numbers=False)
@@ -214,9 +212,9 @@ def leaf(t: Term, event: Typed) -> Column:
     if tags is None or tags.kind.tag != "array":
         return F.lit(False)
     if t.how == "exists":
-        return yes(F.exists(tags.col, lambda x: (x == t.field) | x.startswith(t.field + ":")))
+        return (F.exists(tags.col, lambda x: (x == t.field) | x.startswith(t.field + ":")))
     head = len(t.field) + 2
-    return yes(F.exists(tags.col, lambda x: x.startswith(t.field + ":") & on_text(t, F.substring(x, F.lit(head), F.length(x)))))
+    return (F.exists(tags.col, lambda x: x.startswith(t.field + ":") & on_text(t, F.substring(x, F.lit(head), F.length(x)))))
 
 
 def worded(t: Term, v: Typed) -> Column:
@@ -227,11 +225,11 @@ def worded(t: Term, v: Typed) -> Column:
         return on_value(t, v, numbers=False)
     c = to_text(v)
     if t.how in ("term", "phrase"):
-        return yes(c.rlike(r"\b" + re.escape(t.value) + r"\b"))
+        return (c.rlike(r"\b" + re.escape(t.value) + r"\b"))
     if t.how == "prefix":
-        return yes(c.rlike(r"\b" + re.escape(t.value)))
+        return (c.rlike(r"\b" + re.escape(t.value)))
     if t.how == "wildcard":
-        return yes(c.rlike(wild(t.value)))
+        return (c.rlike(wild(t.value)))
     return on_value(t, v, numbers=False)
 
 
@@ -239,15 +237,15 @@ def on_value(t: Term, v: Typed, numbers: bool) -> Column:
     if t.how == "exists":
         return v.column().isNotNull() if v.kind.tag != "null" else F.lit(False)
     if v.kind.tag == "array":
-        return yes(F.exists(v.col, lambda x: on_value(t, Typed(v.kind.elem, x), numbers)))
+        return (F.exists(v.col, lambda x: on_value(t, Typed(v.kind.elem, x), numbers)))
     if v.parts is not None or v.kind.tag in ("object", "map"):
         return F.lit(False)
     present = v.column().isNotNull()
     if t.how in ("compare", "range") and numbers:
         number = v.col if v.kind.tag in ("int", "float") else F.try_variant_get(v.col, "$", "double") if v.kind.tag == "any" else None
         if number is not None:
-            return yes(bounded(t, number, True, F.when(present, to_text(v))))
-    return yes(present & on_text(t, to_text(v)))
+            return (bounded(t, number, True, F.when(present, to_text(v))))
+    return present & on_text(t, v.col if v.kind.tag == "string" else to_text(v))
 
 
 def on_text(t: Term, c: Column) -> Column:
