@@ -15,7 +15,8 @@ from .registry import arrow, fn, need_const
 
 
 def raw(v: Typed) -> Column:
-    return v.col if v.kind == BINARY else F.encode(v.col, "UTF-8")
+    """The bytes of a value; a string keeps even those that aren't UTF-8."""
+    return v.col if v.kind == BINARY else v.col.cast("binary")
 
 
 def as_bytes(v: Typed) -> Typed:
@@ -45,7 +46,7 @@ def encode_base16(ctx, value: Typed):
 def decode_base16(ctx, value: Typed):
     got = F.try_to_binary(value.col, F.lit("hex"))
     got = F.when(F.length(value.col) % 2 == 0, got)
-    return Typed(STRING, lossy(got), fail(got.isNull() & value.col.isNotNull(), "unable to decode value from base16"))
+    return Typed(STRING, got.cast("string"), fail(got.isNull() & value.col.isNotNull(), "unable to decode value from base16"))
 
 
 def alphabet(v: Typed | None, name: str) -> bool:
@@ -73,7 +74,7 @@ def decode_base64(ctx, value: Typed, charset: Typed):
         good = bare.rlike("^[A-Za-z0-9+/]*$")
     padded = F.concat(bare, F.repeat(F.lit("="), F.pmod(-F.length(bare), F.lit(4)).cast("int")))
     got = F.when(good & (F.length(bare) % 4 != 1), F.try_to_binary(padded, F.lit("base64")))
-    return Typed(STRING, lossy(got), fail(got.isNull() & value.col.isNotNull(), "unable to decode value from base64"))
+    return Typed(STRING, got.cast("string"), fail(got.isNull() & value.col.isNotNull(), "unable to decode value from base64"))
 
 
 @fn("decode_percent", "value:str")

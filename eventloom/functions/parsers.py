@@ -956,4 +956,6 @@ def cbor_value(data: bytes):
 
 @fn("parse_cbor", "value:str")
 def parse_cbor(ctx, value: Typed):
-    return arrow(lambda v: json.dumps(cbor_value(v if isinstance(v, bytes) else v.encode("latin-1"))), ANY, value)
+    from .codecs import as_bytes
+
+    return arrow(lambda b: json.dumps(cbor_value(bytes(b))), ANY, as_bytes(value))
