@@ -6,13 +6,15 @@ where there are fewer words. Two sets link when 100 * intersection >= percent *
 Sets are put in bands of size, such that similar sets lie in one band or in neighbours. Each band has a bound k on the
 symmetric difference of such sets. The domain of shingles is dealt into n1 = k / 2 + 1 + SPARE groups of PARTS parts, so that
 in SPARE + 1 groups at least two similar sets differ by one shingle at most, and agree on all parts of it but one. Every
-choice of all parts but one is a signature, and similar sets share one. A signature of fewer than WEAK shingles
-says little; a set leaves those out unless more than SPARE of its groups have one. No link is lost by that: if either
+choice of all parts but one is a signature, and similar sets share one. A signature of fewer than WEAK shingles that
+are rare says little; a set leaves those out unless more than SPARE of its groups have one. No link is lost by that: if either
 set of a pair has SPARE such groups at most, one of the SPARE + 1 groups is strong in it and, being equal, in the other.
+Which shingles are common is told by a bounded sample of documents; any choice leaves the result the same.
 
 Copies with one set are one class, known by the set's fingerprint, before anything else. In a bucket of one signature, all
-classes are first compared with the bucket's least, which settles a group of near copies with one comparison each. Only
-classes that are not yet known to be connected are then compared with each other. Every link found is verified on the sets.
+classes are first compared with pivots, ROUNDS times, which settles most groups of near copies with a comparison or two each. Only
+classes that are not yet known to be connected are then compared with each other. Before any set is fetched, a sketch (how many shingles fall in each
+of CELLS cells, whose differences add up to the symmetric difference at most) rules out most pairs that aren't similar. Every link is verified on the sets.
 
 Nulls: a null text is empty; texts without words have no shingle, link with nothing and are components of their own. A
 null doc_id links with nothing and gets a null component. Rows repeated with one doc_id are one document for
@@ -30,7 +32,13 @@ from .common import longs, map_arrow, record, slices, small_side, texts_of, writ
 from .graph import components
 from .textvec import Words, mix
 
-PARTS, SPARE, WEAK = 3, 2, 2
+PARTS, SPARE, WEAK = 3, 3, 2
+#: Rounds of comparisons with pivots, before what is left is compared pair by pair.
+ROUNDS = 2
+#: Cells of a sketch.
+CELLS = 96
+#: Documents of the sample that tells common shingles, those of them a common one is in, and common shingles, at most.
+SAMPLE, COMMON, MOST_COMMON = 4000, 4, 1 << 17
 #: Fingerprints that a task remembers, so that copies in it give signatures once.
 SEEN = 1 << 18
 
@@ -64,7 +72,18 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(first, np.int64), np.array(bound, np.int64)
 
 
-def signatures(sets: list[np.ndarray], percent: int, parts: int = PARTS, spare: int = SPARE, weak: int = WEAK) -> tuple[np.ndarray, np.ndarray]:
+def sketch(shingles: np.ndarray) -> bytes:
+    cells = (mix(shingles + np.uint64(5)) >> np.uint64(32)) * np.uint64(CELLS) >> np.uint64(32)
+    return np.minimum(np.bincount(cells.astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+def may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and sketches (rows of CELLS) leave it open that sets are similar."""
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(-1)
+    return (apart * (100 + percent) <= (n_x + n_y) * (100 - percent)) & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y))
+
+
+def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray | None = None, parts: int = PARTS, spare: int = SPARE, weak: int = WEAK) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of all signatures of non-empty sets, in all bands they belong to."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.any():
@@ -74,6 +93,9 @@ def signatures(sets: list[np.ndarray], percent: int, parts: int = PARTS, spare:
     shingles = np.concatenate(sets)
     of = np.repeat(np.arange(len(sets)), sizes)
     spread, value = mix(shingles + np.uint64(1)), mix(shingles + np.uint64(2))
+    rare = np.ones(len(shingles), bool)
+    if common is not None and len(common):
+        rare = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] != shingles
     owners, found = [], []
     for b in (band, band - 1):
         use = (b >= 0) & (sizes > 0)
@@ -86,7 +108,7 @@ def signatures(sets: list[np.ndarray], percent: int, parts: int = PARTS, spare:
         part = ((spread[take] & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         cell = (start[own] + group) * parts + part
         total = int(start[-1])
-        sums, counts = np.zeros(total * parts, np.uint64), np.bincount(cell, minlength=total * parts)
+        sums, counts = np.zeros(total * parts, np.uint64), np.bincount(cell, rare[take], minlength=total * parts).astype(np.int64)
         np.add.at(sums, cell, value[take])
         sums, counts = sums.reshape(total, parts), counts.reshape(total, parts)
         rest, left = sums.sum(1, dtype=np.uint64)[:, None] - sums, counts.sum(1)[:, None] - counts
@@ -101,21 +123,40 @@ def signatures(sets: list[np.ndarray], percent: int, parts: int = PARTS, spare:
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("sketch", pa.binary())])
 
     def make():
         def each(batch):
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), n)
-                prints = [np.array([fingerprint(s, seed) for s in sets], np.uint64) for seed in (3, 4)]
-                yield record(out, part.column("doc_id"), [len(s) for s in sets], *map(longs, prints))
+                yield record(out, part.column("doc_id"), [len(s) for s in sets], longs(np.array([fingerprint(s, 3) for s in sets], np.uint64)), [sketch(s) for s in sets])
+
+        return each
+
+    return map_arrow(docs, make, "doc_id long, n_shingles long, a long, sketch binary")
+
+
+def _common(docs: DataFrame, sets: DataFrame, n: int) -> np.ndarray:
+    """Hashes of shingles that are common in a sample of documents, sorted."""
+    share = min(1.0, SAMPLE / max(1, sets.count()))
+    place = F.xxhash64(F.lit(7), "doc_id").bitwiseAND(F.lit((1 << 53) - 1))
+    sample = docs.where(place < F.lit(int(share * (1 << 53)))).limit(2 * SAMPLE)
+    out = pa.schema([("shingle", pa.int64())])
+
+    def make():
+        def each(batch):
+            for part in slices(batch, "text"):
+                yield record(out, longs(np.concatenate([*shingle_sets(part.column("text"), n), np.zeros(0, np.uint64)])))
 
         return each
 
-    return map_arrow(docs, make, "doc_id long, n_shingles long, a long, b long")
+    counts = map_arrow(sample.select("text"), make, "shingle long").groupBy("shingle").count().where(F.col("count") >= COMMON)
+    top = counts.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").toArrow()
+    return np.sort(top.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
+def _signatures(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
+    held = docs.sparkSession.sparkContext.broadcast(common)
     out = pa.schema([("sig", pa.int64()), ("a", pa.int64())])
 
     def make():
@@ -133,7 +174,7 @@ def _signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 if len(seen) > SEEN:
                     seen.clear()
                 if fresh:
-                    owner, sig = signatures(fresh, percent)
+                    owner, sig = signatures(fresh, percent, held.value)
                     yield record(out, longs(sig), longs(np.array(prints, np.uint64)[owner]))
 
         return each
@@ -184,12 +225,86 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "sig long, a long, pivot long")
 
 
+def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (x, y) of classes of one bucket that aren't known to be connected and may be similar. mixed: sig, a, root, n,
+    sketch, sorted by sig. A bucket is compared in blocks; its members alone are held."""
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def pairs(a, root, n, cells):
+        step = 512
+        for i in range(0, len(a), step):
+            for j in range(i, len(a), step):
+                rows, cols = np.s_[i : i + step], np.s_[j : j + step]
+                good = root[rows, None] != root[None, cols]
+                if i == j:
+                    good &= np.arange(good.shape[0])[:, None] < np.arange(good.shape[1])
+                r, c = np.nonzero(good)
+                keep = may_link(cells[i + r], cells[j + c], n[i + r], n[j + c], percent)
+                x, y = a[i + r[keep]], a[j + c[keep]]
+                if len(x):
+                    yield np.minimum(x, y), np.maximum(x, y)
+
+    def fresh(found):
+        """Batches without what this task gave just before."""
+        seen: set[tuple[int, int]] = set()
+        for x, y in found:
+            new = [p for p in zip(x.tolist(), y.tolist(), strict=True) if p not in seen]
+            seen.update(new)
+            if new:
+                yield record(out, *map(list, zip(*new, strict=True)))
+            if len(seen) > 200_000:
+                seen.clear()
+
+    def run(batches):
+        return fresh(search(batches))
+
+    def search(batches):
+        held: list[tuple] = []
+        sig_held = None
+
+        def close():
+            if len(held) and sum(len(h[0]) for h in held) > 1:
+                a, root, n, cells = (np.concatenate([h[k] for h in held]) for k in range(4))
+                if (root != root[0]).any():
+                    yield from pairs(a, root, n, cells)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, a, root, n = (batch.column(k).to_numpy() for k in range(4))
+            cells = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, CELLS)
+            begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            for lo, hi in zip(begins, [*begins[1:], len(sig)], strict=True):
+                if sig[lo] != sig_held:
+                    yield from close()
+                    held, sig_held = [], sig[lo]
+                held.append((a[lo:hi], root[lo:hi], n[lo:hi], cells[lo:hi]))
+        yield from close()
+
+    return mixed.select("sig", "a", "root", "n", "sketch").mapInArrow(run, "x long, y long")
+
+
+def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs (x, y) whose sizes and sketches leave it open that they are similar."""
+    x, y = (classes.select(F.col("a").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}")) for c in "xy")
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("s_x", "s_y")]
+                good = may_link(*cells, *(batch.column(c).to_numpy() for c in ("n_x", "n_y")), percent)
+                yield record(out, batch.column("x").to_numpy()[good], batch.column("y").to_numpy()[good])
+
+    both = pairs.join(x, "x").join(y, "y").select("x", "y", "n_x", "n_y", "s_x", "s_y")
+    return both.mapInArrow(run, "x long, y long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (x, y: classes) that are similar. Sets are made anew for the classes in question alone."""
-    x, y = (classes.select(F.col("a").alias(c), F.col("rep").alias(f"rep_{c}"), F.col("n").alias(f"n_{c}")) for c in "xy")
-    sized = pairs.join(x, "x").join(y, "y").where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
-    sized = written(sized.select("x", "y", "rep_x", "rep_y"), "pairs")
-    wanted = written(sized.select(F.col("rep_x").alias("doc_id")).union(sized.select("rep_y")).distinct(), "wanted")
+    """Those of pairs (x, y: classes; a written table) that are similar. Sets are made anew for the classes in question alone."""
+    sized = pairs
+    asked = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct()
+    wanted = written(asked.join(classes, "a").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     out = pa.schema([("a", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def make():
@@ -215,20 +330,39 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = written(_sets(docs, n), "sets")
-    classes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
-    rows = _signatures(docs.where("doc_id IS NOT NULL"), n, percent).repartition(parts, "sig").sortWithinPartitions("sig", "a")
+    classes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "classes")
+    common = _common(docs, sets, n)
+    rows = _signatures(docs.where("doc_id IS NOT NULL"), n, percent, common).repartition(parts, "sig").sortWithinPartitions("sig", "a")
     buckets = written(_shared(rows), "buckets")
-    pairs = buckets.where("a <> pivot").select(F.col("a").alias("x"), F.col("pivot").alias("y")).distinct()
-    links = written(_verified(pairs, classes, docs, n, percent), "links")
+    # the class in most buckets is the likely middle of a group of near copies: it is the pivot of each bucket it is in. Each
+    # class is compared with the pivot it shares most signatures with that it isn't yet connected to, some rounds over
+    degrees = buckets.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
+    ranked = written(buckets.select("sig", "a").join(degrees, "a"), "ranked")
+    links, known = None, None
+    for _ in range(ROUNDS):
+        placed = ranked if known is None else written(ranked.join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")), "placed")
+        if known is None:
+            placed = placed.withColumn("root", F.col("a"))
+            tops = placed.groupBy("sig").agg(F.max(F.struct("k", "a", "root")).alias("p"))
+        else:
+            # in a bucket of several components, the middle of the largest of them there
+            sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("k", "a", "root")).alias("p"))
+            tops = sizes.groupBy("sig").agg(F.max(F.struct("n", "p")).alias("best"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("sig", F.col("best.p").alias("p"))
+        tops = written(tops.select("sig", F.col("p.a").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
+        shared = placed.join(tops, "sig").where("root <> pivot_root").groupBy("a", "pivot").agg(F.count(F.lit(1)).alias("k"))
+        if links is not None:
+            shared = shared.join(tried, ["a", "pivot"], "left_anti")
+        pairs = written(shared.groupBy("a").agg(F.max(F.struct("k", "pivot")).alias("most")).select(F.col("a").alias("x"), F.col("most.pivot").alias("y")), "tried")
+        tried = pairs.select(F.col("x").alias("a"), F.col("y").alias("pivot")) if links is None else tried.union(pairs.select(F.col("x").alias("a"), F.col("y").alias("pivot")))
+        more = _verified(written(_may_link(pairs, classes, percent), "pairs"), classes, docs, n, percent)
+        links = written(more if links is None else links.union(more), "links")
+        known = written(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "known")
     # classes of one bucket that these links don't connect are compared with each other
-    known = written(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "known")
-    placed = buckets.join(known.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", "pivot", F.coalesce("root", "a").alias("root"))
-    placed = written(placed, "placed")
+    placed = written(buckets.join(known.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", F.coalesce("root", "a").alias("root")), "placed")
     open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    mixed = written(placed.join(open_, "sig", "left_semi"), "mixed")
-    x, y = (mixed.select("sig", F.col("a").alias(c), F.col("root").alias(f"r_{c}"), F.col("pivot")) for c in "xy")
-    more = x.join(y.drop("pivot"), "sig").where("x < y AND r_x <> r_y AND x <> pivot AND y <> pivot").select("x", "y").distinct()
-    more = written(_verified(more, classes, docs, n, percent), "more-links")
+    mixed = placed.join(open_, "sig", "left_semi").join(classes.select("a", "n", "sketch"), "a")
+    more = _open_pairs(mixed.repartition(parts, "sig").sortWithinPartitions("sig", "a"), percent).distinct()
+    more = written(_verified(written(more, "open-pairs"), classes, docs, n, percent), "more-links")
     roots = components(links.union(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
     # a component's id is the least doc_id of its classes
     least = written(roots.join(classes, roots["node"] == classes["a"]).select("node", "root", "rep"), "roots")
