@@ -21,20 +21,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, record, slices, small_side
+from .common import map_arrow, record, slices, small_side, texts_of
+from .textvec import mix, powers, random64
 
 SEPARATOR = "\n"
 WIDE, NO_ID = 1, 2
 #: Text bytes of a data file, about; files are read whole.
 FILE_BYTES = 64 << 20
 #: Pieces a task remembers with their ids before it starts anew.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 1_000_000
 _HEAD, _BODY = struct.Struct("<QI"), struct.Struct("<Bq")
-_FOLLOWED = regex.compile(r" (?=\s|$)")
 
 
 def masked_crc(data: bytes) -> int:
@@ -68,11 +67,51 @@ def frames(data: bytes):
         at = hi + 5
 
 
+# Bytes that are no white space and begin none: ASCII alone, or lead bytes that no white space has.
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SOLID = ~_ASCII_SPACE
+_SOLID[0x80:0xC0] = False
+_SOLID[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_PLAIN = _SOLID.copy()
+_PLAIN[0x80:] = False
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".,;:!?"]] = True
+_BYTE = random64(31, 256)
+
+
+def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where pieces of texts begin, at boundaries that byte-level BPE's rule for words always has: before a space that precedes
+    a non-space; around a single line end between non-spaces; between an ASCII letter and a stop."""
+    begin = np.zeros(len(data), bool)
+    n = len(data)
+    if n > 1:
+        solid, plain, space = _SOLID[data], _PLAIN[data], data == 0x20
+        begin[:-1] |= space[:-1] & solid[1:]
+        begin[1:] |= _LETTER[data[:-1]] & _STOP[data[1:]]
+        line = data == 0x0A
+        begin[1:] |= line[1:] & plain[:-1]
+        if n > 2:
+            begin[2:] |= line[1:-1] & plain[:-2] & solid[2:]
+        last = offsets[1:] - 1
+        last = last[last >= 0]
+        begin[last[space[last]]] = False  # a space at a text's end precedes nothing of it
+        starts = offsets[:-1]
+        second = starts[starts + 1 < n] + 1
+        # marks that looked back over a text's start are gone with the next line: the start itself is a boundary
+        begin[second[(data[second - 1] == 0x0A) & ~space[second]]] = False
+    begin[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
+    return np.flatnonzero(begin)
+
+
 class Encoder:
     """Token ids of whole texts, as bytes.
 
-    Byte-level BPE never merges across the boundary before a space that precedes a non-space, so a text is cut there and
-    each distinct piece is encoded once. A text with a space before other white space, or at its end, is encoded as it is.
+    Texts are cut into pieces that the tokenizer would encode alike alone, and each distinct piece (by a 64-bit hash that binds its length) is
+    encoded once by the tokenizer; the rest is gathered with numpy. New pieces that begin with a space are encoded many at a time, joined
+    again, and told apart by the bytes their tokens stand for.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -80,27 +119,88 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.size[i] = len(token)
+        self.narrow = len(self.size) <= 1 << 16 and end_id < 1 << 16
         self.kind = np.dtype("<u2" if self.narrow else "<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = []
-        for text in texts:
-            if _FOLLOWED.search(text):
-                cut.append([text])
+        self.end = end_id
+        self.forget()
+
+    def forget(self) -> None:
+        """Keys of known pieces, ascending; and where each one's ids are in the store."""
+        self.keys = np.zeros(0, np.uint64)
+        self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = np.zeros(0, self.kind)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(got.ids, self.kind) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, pieces: list[bytes]) -> list[np.ndarray]:
+        out: list = [None] * len(pieces)
+        spaced = [i for i, x in enumerate(pieces) if x[:1] == b" " and len(x) > 1 and _PLAIN[x[1]] and _PLAIN[x[-1]]]
+        alone = set(range(len(pieces))).difference(spaced)
+        groups = [spaced[lo : lo + 2000] for lo in range(0, len(spaced), 2000)]
+        for group, ids in zip(groups, self._ids([b"".join([pieces[i] for i in g]).decode() for g in groups]), strict=True):
+            ends, stops = np.cumsum(self.size[ids]), np.cumsum([len(pieces[i]) for i in group])
+            after = np.searchsorted(ends, stops) + 1
+            if np.array_equal(ends[np.minimum(after, len(ends)) - 1], stops):
+                for i, part in zip(group, np.split(ids, after[:-1]), strict=True):
+                    out[i] = part
             else:
-                head, *rest = text.split(" ")
-                cut.append(([head] if head else []) + [" " + x for x in rest])
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        new = [x for x in {x for pieces in cut for x in pieces} if x not in self.known]
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for x, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(got.ids, self.kind).tobytes()
-        return [b"".join(map(self.known.__getitem__, pieces)) + self.end for pieces in cut]
+                alone.update(group)
+        rest = sorted(alone)
+        for i, ids in zip(rest, self._ids([pieces[i].decode() for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """keys: ascending, none known."""
+        found = self.ids_of(pieces)
+        n = np.array([len(x) for x in found], np.int64)
+        at = len(self.store) + np.cumsum(n) - n
+        self.store = np.concatenate([self.store, *found])
+        spot = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.n = np.insert(self.keys, spot, keys), np.insert(self.at, spot, at), np.insert(self.n, spot, n)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text and the end id, in the encoder's width."""
+        data, offsets = texts_of(column)
+        starts = pieces_of(data, offsets)
+        ids, first = np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
+        if len(starts):
+            lengths = np.diff(np.append(starts, len(data)))
+            place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), lengths)
+            hashes = mix(np.add.reduceat(_BYTE[data] * powers(0x9E3779B97F4A7C15, int(lengths.max()))[place], starts) + lengths.astype(np.uint64))
+            keys, one, kind = np.unique(hashes, return_index=True, return_inverse=True)
+            if len(self.keys) > CACHE_PIECES:
+                self.forget()
+            spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+            new = np.flatnonzero(self.keys[spot] != keys) if len(self.keys) else np.arange(len(keys))
+            if len(new):
+                whole = data.tobytes()
+                lo = starts[one[new]]
+                self.learn(keys[new], [whole[a:b] for a, b in zip(lo.tolist(), (lo + lengths[one[new]]).tolist(), strict=True)])
+                spot = np.searchsorted(self.keys, keys)
+            at, n = self.at[spot][kind], self.n[spot][kind]
+            sums = np.concatenate([[0], np.cumsum(n)])
+            ids = self.store[np.repeat(at - sums[:-1], n) + np.arange(int(sums[-1]))]
+            first = sums[np.searchsorted(starts, offsets)]
+        end = np.array([self.end], self.kind).tobytes()
+        raw, width = ids.tobytes(), self.kind.itemsize
+        return [raw[a:b] + end for a, b in zip((first[:-1] * width).tolist(), (first[1:] * width).tolist(), strict=True)]
+
+
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One encoder a worker process, so that tasks in turn share the pieces it knows."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -119,13 +219,12 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = Encoder(tokenizer, end_id)
+        encoder = encoder_of(tokenizer, end_id)
 
         def each(batch):
             for part in slices(batch, "text", 4 << 20):
-                texts = [x or "" for x in part.column("text").to_pylist()]
-                ids = part.column("doc_id").to_pylist()
-                yield record(out, [frame(i, x, encoder.narrow) for i, x in zip(ids, encoder.encode(texts), strict=True)])
+                found = zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text")), strict=True)
+                yield record(out, [frame(i, x, encoder.narrow) for i, x in found])
 
         return each
 
