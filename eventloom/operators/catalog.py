@@ -120,7 +120,7 @@ PROGRAMS: list[tuple[str, str, str, str, str | None]] = [
     ("parse_formats", "events", 'x = parse_xml!("<r a=\\"1\\"><t>" + .event_type + "</t></r>")\n.x = string!(x.r.t)\n.xa = int!(x.r."@a")\ny = parse_yaml!("t: " + .event_type + "\\nl:\\n  - 1\\n  - 2\\n")\n.y = string!(y.t)\n.l = length!(y.l)\nr = parse_ruby_hash!("{ :t => \\"" + .event_type + "\\", \\"n\\" => nil }")\n.r = string!(r.t)', "event_id x xa y l r", "SELECT event_id, event_type AS x, 1 AS xa, event_type AS y, 2 AS l, event_type AS r FROM events"),
     ("parse_vendor_lines", "events", 'v = parse_aws_vpc_flow_log!("2 123456789010 eni-1 172.31.16.139 172.31.16.21 " + to_string(.user_id) + " 22 6 20 4249 1418530010 1418530070 ACCEPT OK")\n.p = v.srcport\n.a = v.action\nc = parse_cef!("CEF:0|V|P|1|100|" + .event_type + "|5|src=1.1.1.1 msg=hi there")\n.n = string!(c.name)\n.m = string!(c.msg)\nw = parse_aws_cloudwatch_log_subscription_message!(s\'{"messageType":"DATA_MESSAGE","owner":"o","logGroup":"g","logStream":"s","subscriptionFilters":["f"],"logEvents":[{"id":"1","timestamp":1600110569039,"message":"m"}]}\')\n.w = w.log_events[0].message\ni = parse_influxdb!("cpu,host=A usage=" + to_string(.user_id) + " 1590488773254420000")\n.i = i[0].gauge.value', "event_id p a n m w i", "SELECT event_id, user_id AS p, 'ACCEPT' AS a, event_type AS n, 'hi there' AS m, 'm' AS w, user_id::DOUBLE AS i FROM events"),
     ("parse_alb_line", "region", 'o = parse_aws_alb_log!(s\'http 2018-07-02T22:23:00.186641Z app/my-loadbalancer/50dc6c495c0c9188 192.168.131.39:2817 10.0.0.1:80 0.000 0.001 0.000 200 200 34 366 "GET http://www.example.com:80/ HTTP/1.1" "curl/7.46.0" - - arn:aws:elasticloadbalancing:us-east-2:123456789012:targetgroup/my-targets/73e2d6bc24d8a067 "Root=1-58337364-23a8c76965a2ef7629b185e3" "-" "-" 0 2018-07-02T22:22:48.364000Z "forward" "-" "-" 10.0.0.1:80 200 "-" "-"\')\n.m = string!(o.request_method)\n.b = int!(o.sent_bytes)\n.h = string!(o.client_host)', "r_regionkey m b h", "SELECT r_regionkey, 'GET' AS m, 366 AS b, '192.168.131.39:2817' AS h FROM region"),
-    ("parse_etld_agent", "region", 'e = parse_etld!("vector.dev.co.uk", plus_parts: 1)\n.e = e.etld\n.p = e.etld_plus\nu = parse_user_agent("Mozilla/5.0 (Windows NT 10.0) Chrome/90.0 Safari/537.36")\n.b = string!(u.browser.family)\n.o = string!(u.os.family)\nc = parse_cbor!("\\u{01}")\n.c = int!(c)', "r_regionkey e p b o c", "SELECT r_regionkey, 'co.uk' AS e, 'dev.co.uk' AS p, 'Chrome' AS b, 'Windows 10' AS o, 1 AS c FROM region"),
+    ("parse_etld_agent", "region", 'e = parse_etld!("app.dev.co.uk", plus_parts: 1)\n.e = e.etld\n.p = e.etld_plus\nu = parse_user_agent("Mozilla/5.0 (Windows NT 10.0) Chrome/90.0 Safari/537.36")\n.b = string!(u.browser.family)\n.o = string!(u.os.family)\nc = parse_cbor!("\\u{01}")\n.c = int!(c)', "r_regionkey e p b o c", "SELECT r_regionkey, 'co.uk' AS e, 'dev.co.uk' AS p, 'Chrome' AS b, 'Windows 10' AS o, 1 AS c FROM region"),
     ("parse_groks", "events", 'o = parse_grok!("2020-10-02T23:22:12.223222Z info user " + to_string(.user_id), "%{TIMESTAMP_ISO8601:t} %{LOGLEVEL:l} %{WORD:w} %{INT:n}")\n.l = o.l\n.n = o.n\ng = parse_groks!(.event_type + " " + to_string(.user_id) + " k=v", ["%{integer:bad}", "%{word:kind} %{integer:user.id} %{data::keyvalue}"])\n.k = string!(g.kind)\n.i = int!(g.user.id)\n.v = string!(g.k)', "event_id l n k i v", "SELECT event_id, 'info' AS l, user_id::VARCHAR AS n, event_type AS k, user_id AS i, 'v' AS v FROM events"),
     # search and debugging
     ("search_function", "events", '.a = match_search_query({"message": "an " + .event_type + " came", "v": .value}, "error OR @v:>150")', "event_id a", "SELECT event_id, event_type = 'error' OR value > 150 AS a FROM events"),

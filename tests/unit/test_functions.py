@@ -1,4 +1,4 @@
-"""Functions that SQL can't check: round trips, published vectors, properties."""
+"""Functions that SQL can't check: round trips, published test values, properties."""
 
 import pytest
 from hypothesis import given, settings
@@ -27,7 +27,7 @@ def test_ciphers_round_trip(name):
         crypt(b"x", name, b"short", bytes(range(i)), True)
 
 
-def test_published_vectors():
+def test_published_values():
     assert AES(bytes(range(16))).encrypt(bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
     assert AES(bytes(range(32))).encrypt(bytes.fromhex("00112233445566778899aabbccddeeff")).hex() == "8ea2b7ca516745bfeafc49904b496089"
     assert chacha_poly(bytes(range(0x80, 0xA0)), bytes.fromhex("070000004041424344454647"), b"", True)[-16:] != b""
