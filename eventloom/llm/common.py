@@ -87,7 +87,7 @@ def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 512 << 10) -> Iterator[pa.RecordBatch]:
     """Row ranges of batch whose texts have about `most` bytes; a longer text stands alone, never cut."""
     _, offsets = texts_of(batch.column(column))
     lo, n = 0, batch.num_rows

@@ -35,8 +35,10 @@ from .textvec import Words, mix
 PARTS, SPARE, WEAK = 3, 3, 2
 #: Rounds of comparisons with pivots, before what is left is compared pair by pair.
 ROUNDS = 2
+#: Pivots that a class is compared with in a round.
+PIVOTS = 3
 #: Cells of a sketch.
-CELLS = 96
+CELLS = 192
 #: Documents of the sample that tells common shingles, those of them a common one is in, and common shingles, at most.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 1 << 17
 #: Fingerprints that a task remembers, so that copies in it give signatures once.
@@ -163,7 +165,7 @@ def _signatures(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> Da
         seen: set[int] = set()
 
         def each(batch):
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 fresh, prints = [], []
                 for s in shingle_sets(part.column("text"), n):
                     a = fingerprint(s, 3)
@@ -309,7 +311,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
 
     def make():
         def each(batch):
-            for part in slices(batch, "text", 1 << 20):
+            for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), n)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 values = longs(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
@@ -335,7 +337,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     rows = _signatures(docs.where("doc_id IS NOT NULL"), n, percent, common).repartition(parts, "sig").sortWithinPartitions("sig", "a")
     buckets = written(_shared(rows), "buckets")
     # the class in most buckets is the likely middle of a group of near copies: it is the pivot of each bucket it is in. Each
-    # class is compared with the pivot it shares most signatures with that it isn't yet connected to, some rounds over
+    # class is compared with the pivots it shares most signatures with that it isn't yet connected to, some rounds over
     degrees = buckets.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
     ranked = written(buckets.select("sig", "a").join(degrees, "a"), "ranked")
     links, known = None, None
@@ -352,7 +354,9 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         shared = placed.join(tops, "sig").where("root <> pivot_root").groupBy("a", "pivot").agg(F.count(F.lit(1)).alias("k"))
         if links is not None:
             shared = shared.join(tried, ["a", "pivot"], "left_anti")
-        pairs = written(shared.groupBy("a").agg(F.max(F.struct("k", "pivot")).alias("most")).select(F.col("a").alias("x"), F.col("most.pivot").alias("y")), "tried")
+        # a class has a few hundred signatures, and so as many pivots at most
+        most = F.slice(F.sort_array(F.collect_list(F.struct("k", "pivot")), asc=False), 1, PIVOTS)
+        pairs = written(shared.groupBy("a").agg(most.alias("most")).select(F.col("a").alias("x"), F.explode("most.pivot").alias("y")), "tried")
         tried = pairs.select(F.col("x").alias("a"), F.col("y").alias("pivot")) if links is None else tried.union(pairs.select(F.col("x").alias("a"), F.col("y").alias("pivot")))
         more = _verified(written(_may_link(pairs, classes, percent), "pairs"), classes, docs, n, percent)
         links = written(more if links is None else links.union(more), "links")
