@@ -353,6 +353,56 @@ def test_lm_is_a_distribution():
     assert np.exp(logs).sum() == pytest.approx(1)
 
 
+def test_lm_counts_every_pair(spark, monkeypatch):
+    """Each chunk's counts of the words so far are those over all training tokens, however rare and wherever chunks and tasks end."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 7)
+    rng = random.Random(8)
+    stems = ["a", "ab", "ab!", "ab\x01", "abc", "éa", "ü", "b"]
+    texts = [("é " if i % 3 else "") + " ".join(rng.choice(stems) + rng.choice(["", "x", "xy", str(rng.randrange(60))]) for _ in range(20)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(3)
+    vocab = lm_scoring.vocabulary(docs)
+    want = [Counter(), Counter()]
+    for r in vocab.where("n_train > 0").collect():
+        word, n = bytes(r["word"]), r["n_train"]
+        spelled = word if word == lm_scoring.END else word + b" "
+        for i, byte in enumerate(spelled):
+            for bit in range(8):
+                for k, cue in enumerate((r["cue"], None)):
+                    want[k][cue, spelled[:i], byte >> (8 - bit), byte >> (7 - bit) & 1, bit] += n
+    assert sum(n < 4 for n in want[0].values()) > 100
+    chunks = lm_scoring.counted(lm_scoring.chunked(vocab))[1]
+    found, pairs = [{}, {}], 0
+    for row in chunks.collect():
+        chunk = lm_scoring.Chunk(row.asDict())
+        pairs += len(chunk.words)
+        d, words = chunk.decisions, chunk.words.to_pylist()
+        at = Counter()
+        for row, one in zip(d.row.tolist(), d.of.tolist(), strict=True):
+            spelled = words[row] if words[row] == lm_scoring.END else words[row] + b" "
+            i = at[row]
+            at[row] += 1
+            for bit in range(8):
+                for k, cue in enumerate((int(chunk.cues[row]), None)):
+                    _, kind, counts = chunk.trees[k]
+                    for b in (0, 1):
+                        key = cue, spelled[:i], spelled[i] >> (8 - bit), b, bit
+                        assert found[k].setdefault(key, counts[kind[one * 8 + bit], b]) == counts[kind[one * 8 + bit], b]
+    assert pairs == vocab.count() and chunks.count() > 10
+    for k in (0, 1):
+        assert {key: n for key, n in found[k].items() if n} == dict(want[k])
+
+
+def test_lm_rare_words_are_learned(spark):
+    """A word seen twice in training is likelier than one of the same letters that never was."""
+    rng = random.Random(3)
+    name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
+    twice, never = [name() for _ in range(2000)], [name() for _ in range(500)]
+    data = [(i, " ".join(twice[i % 100 * 20 : i % 100 * 20 + 20]), True) for i in range(200)] + [(200, " ".join(never), False)]
+    model, chunks = lm_scoring.fit(lm_scoring.vocabulary(spark.createDataFrame(data, "doc_id long, text string, train boolean")))
+    logp = {bytes(r["word"]).decode(): r["logp"] for r in lm_scoring.scored_vocabulary(chunks, model).collect()}
+    assert np.mean([logp[w] for w in twice]) > np.mean([logp[w] for w in never]) + 1
+
+
 # --- 9 exact dedup
 
 
