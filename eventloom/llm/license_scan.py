@@ -3,7 +3,11 @@
 Units of a document are its lines and, as one more, its whole text (line -1). A unit's words are its runs of a-z and 0-9
 after A-Z are lower-cased; its bigrams are distinct pairs of neighbours. Dice >= t needs a template's bigrams to number
 between t / (2 - t) and (2 - t) / t times the unit's, so a unit is compared with templates of such sizes alone, and units
-that can't be of any such size go before their bigrams are made. The templates are a fixed table of a few kilobytes and are the only
+that can't be of any such size go before their bigrams are made.
+
+A notice that is wrapped over lines or shares its line with other text is found as a passage: a run of words of the text that begins and ends with a
+bigram of a template (no other run can be the best) and has no more bigrams, counted with repeats, than Dice >= t allows. Runs that overlap are one
+unit, and a run that overlaps a line, or lies in a text, that itself matches the same licence as well is no unit besides. The templates are a fixed table of a few kilobytes and are the only
 side that is broadcast; what remains after that join are shared bigrams, a few rows, so all shuffles are small.
 
 Nulls: null and empty texts match nothing. Rows repeated with one doc_id are one document and get its matches each; a
@@ -13,8 +17,9 @@ null doc_id counts as one. An empty table gives no row. Other columns are ignore
 from __future__ import annotations
 
 import re
+from math import ceil
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
@@ -73,6 +78,68 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value made once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def passages(lines: Column, threshold: float, templates) -> Column:
+    """Runs of words at or over the threshold, of an array of normalised lines: template, license, lo and hi (bigrams' places), from_line, to_line, dice."""
+    least = threshold / (2 - threshold)
+    by: dict[tuple[int, str, int], list[str]] = {}
+    for t, name, size, pair in template_bigrams(templates):
+        by.setdefault((t, name, size), []).append(pair)
+    table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(name).alias("name"), F.lit(size).alias("size"), F.lit(ceil(size * least - 1e-9)).alias("need"), F.lit(int(size / least + 1e-9)).alias("most"), F.array(*map(F.lit, pairs)).alias("pairs")) for (t, name, size), pairs in by.items()])
+    every = sorted({pair for pairs in by.values() for pair in pairs})
+    fewest = min(ceil(size * least - 1e-9) for _, _, size in by)
+    none = F.array().cast("array<struct<template:int,license:string,lo:int,hi:int,from_line:int,to_line:int,dice:double>>")
+
+    def line_of(counts: Column, place: Column) -> Column:
+        start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("line"))
+        step = lambda acc, n: F.struct((acc["words"] + n).alias("words"), (acc["line"] + (acc["words"] + n <= place).cast("int")).alias("line"))
+        return F.aggregate(counts, start, step, lambda acc: acc["line"])
+
+    def run(pairs: Column, counts: Column, t: Column, near: Column, last: Column, k: Column) -> Column:
+        lo = F.element_at(near, 1)["i"]
+        n = F.size(F.array_distinct(F.slice(pairs, lo + 1, last["i"] - lo + 1)))
+        both = F.size(F.array_distinct(F.transform(F.slice(near, F.lit(1), k + 1), lambda x: x["pair"])))
+        return F.struct(t["t"].alias("template"), t["name"].alias("license"), lo.alias("lo"), last["i"].alias("hi"), line_of(counts, lo).alias("from_line"), line_of(counts, last["i"] + 1).alias("to_line"), (2.0 * both / (n + t["size"])).alias("dice"))
+
+    def from_start(pairs: Column, counts: Column, t: Column, near: Column) -> Column:
+        enough = F.size(F.array_distinct(F.transform(near, lambda x: x["pair"]))) >= t["need"]
+        ends = lambda near: F.transform(near, lambda last, k: F.when(k + 1 >= t["need"], run(pairs, counts, t, near, last, k)))
+        return F.when(enough, F.filter(ends(near), lambda r: r["dice"] >= threshold)).otherwise(none)
+
+    def of_template(pairs: Column, counts: Column, t: Column, hits: Column) -> Column:
+        start = lambda x, s: let(F.filter(F.slice(hits, s + 1, t["most"]), lambda y: y["i"] < x["i"] + t["most"]), lambda near: from_start(pairs, counts, t, near))
+        return F.when(F.size(hits) >= t["need"], F.flatten(F.transform(hits, start))).otherwise(none)
+
+    def of_hits(pairs: Column, counts: Column, hits: Column) -> Column:
+        each = lambda t: let(F.filter(hits, lambda x: F.array_contains(t["pairs"], x["pair"])), lambda mine: of_template(pairs, counts, t, mine))
+        return F.when(F.size(hits) >= fewest, F.flatten(F.transform(table, each))).otherwise(none)
+
+    def of_lines(worded: Column) -> Column:
+        counts = F.transform(worded, F.size)
+        words = F.flatten(worded)
+        rest = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+        pairs = let(words, lambda w: F.zip_with(F.slice(w, F.lit(1), rest(w)), F.slice(w, F.lit(2), rest(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
+        hits = lambda p: F.filter(F.transform(p, lambda pair, i: F.when(pair.isin(every), F.struct(i.alias("i"), pair.alias("pair")))), lambda x: x.isNotNull())
+        return let(counts, lambda c: let(pairs, lambda p: let(hits(p), lambda h: of_hits(p, c, h))))
+
+    words_of = lambda line: F.filter(F.split(line, " "), lambda w: w != "")
+    return let(F.transform(lines, words_of), of_lines)
+
+
+def license_passages(docs: DataFrame, threshold: float, templates) -> DataFrame:
+    """doc_id, line (-2 less the place of the unit's first bigram), from_line, to_line, license, template and dice."""
+    lines = F.split(normal(F.col("text")), "\n")
+    found = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("unit"), F.inline(passages(lines, threshold, templates)))
+    before = Window.partitionBy("doc_id", "unit").orderBy("lo", "hi", "template")
+    first = F.col("lo") > F.coalesce(F.max("hi").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    begun = found.withColumn("first", F.when(first, F.col("lo")))
+    return begun.select("doc_id", (-2 - F.max("first").over(before.rowsBetween(Window.unboundedPreceding, 0))).alias("line"), "from_line", "to_line", "license", "template", "dice")
+
+
 def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """doc_id, line, license, template and dice of every unit and template at or over the threshold."""
     spark: SparkSession = docs.sparkSession
@@ -92,7 +159,12 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEM
     shared = shared.where((F.col("size") >= F.col("n") * (threshold / (2 - threshold))) & (F.col("size") <= F.col("n") * ((2 - threshold) / threshold)))
     counts = shared.groupBy("doc_id", "line", "unit", "n", "template", "license", "size").agg(F.countDistinct("bigram").alias("both"))
     dice = 2.0 * F.col("both") / (F.col("n") + F.col("size"))
-    return counts.where(dice >= threshold).select("doc_id", "line", "license", "template", dice.alias("dice"))
+    found = counts.where(dice >= threshold).select("doc_id", "line", "license", "template", dice.alias("dice"))
+    runs = license_passages(docs, threshold, templates).alias("r")
+    covers = (F.col("f.line") == -1) | F.col("f.line").between(F.col("r.from_line"), F.col("r.to_line"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.license") == F.col("f.license")) & (F.col("r.dice") <= F.col("f.dice"))
+    more = runs.join(found.alias("f"), same & covers, "left_anti").groupBy("doc_id", "line", "license", "template").agg(F.max("dice").alias("dice"))
+    return found.unionByName(more)
 
 
 def license_scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:

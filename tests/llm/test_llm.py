@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from math import log10
@@ -100,6 +101,27 @@ def test_license_scan(spark):
     assert by == {1: ("MIT", 1.0, 1), 2: ("Apache-2.0", 1.0, 1), 3: (None, None, 0), 4: (None, None, 0), 5: (None, None, 0), 6: ("MIT", 1.0, 1), None: ("CC-BY-NC-4.0", 1.0, 1)}
 
 
+def test_license_passages(spark):
+    """Notices wrapped over lines, or sharing a line, are found; their Dice is that of the best run of words."""
+    rng = random.Random(1)
+    data, want = [], {}
+    for t, (name, notice) in enumerate(license_scan.TEMPLATES):
+        wrapped = "\n".join(textwrap.wrap(notice, 30))
+        data.append((t, "\n".join([text(rng, 9) for _ in range(40)] + [wrapped] + [text(rng, 9) for _ in range(40)])))
+        want[t] = name
+    data.append((100, "Some prose of a page and then a notice. Released under the MIT License. And then some more of the prose."))
+    data.append((101, "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit the page."))
+    data.append((102, "a page. Released under the MIT License. and\nb c d e f g. Licensed under CC BY-NC 4.0. h\nRedistribution of the work under it"))
+    data.append((103, "one two Released under\nthe very MIT License three four"))
+    got = {r["doc_id"]: r for r in license_scan.license_scan(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()}
+    assert len(got) == len(data)
+    assert {i: (got[i]["license"], got[i]["dice"]) for i in want} == {i: (name, 1.0) for i, name in want.items()}
+    assert all(got[i]["n_units"] >= 1 for i in want)
+    assert [(got[i]["license"], got[i]["dice"], got[i]["n_units"]) for i in (100, 101)] == [("MIT", 1.0, 1), ("CC-BY-4.0", 1.0, 1)]
+    assert (got[102]["licenses"], got[102]["n_units"]) == ("CC-BY-NC-4.0,MIT", 2)
+    assert got[103]["license"] is None  # three of four bigrams in a run of five: 2 * 3 / 9
+
+
 def test_license_dice_by_definition(docs, none):
     assert license_scan.license_scan(none).count() == 0
     assert {r["n_units"] for r in license_scan.license_scan(docs).collect()} == {0}
