@@ -13,12 +13,16 @@ Which shingles are common is told by a bounded sample of documents; any choice l
 
 Copies with one set are one class, known by the set's fingerprint, before anything else. In a bucket of one signature, all
 classes are first compared with pivots, ROUNDS times, which settles most groups of near copies with a comparison or two each. Only
-classes that are not yet known to be connected are then compared with each other. Before any set is fetched, a sketch (how many shingles fall in each
-of CELLS cells, whose differences add up to the symmetric difference at most) rules out most pairs that aren't similar. Every link is verified on the sets.
+classes that are not yet known to be connected are then compared with each other, a hot bucket in blocks over many tasks.
+Before any text is fetched, a sketch (how many shingles fall in each of CELLS cells, whose differences add up to the symmetric
+difference at most) rules out most pairs that aren't similar. Every link is verified on the whole sets: one text of each class that
+shares a bucket is written once, goes to each pivot it is compared with, and sets are made there; a pivot of many
+partners is dealt over several tasks. Tables are deleted as soon as a later one stands.
 
 Nulls: a null text is empty; texts without words have no shingle, link with nothing and are components of their own. A
 null doc_id links with nothing and gets a null component. Rows repeated with one doc_id are one document for
-linking, each with its own number of shingles. An empty table gives no row. Other columns are ignored.
+linking, whose links are those of all its rows; each row has its own number of shingles. An empty table gives no row. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import longs, map_arrow, record, slices, small_side, texts_of, written
+from .common import dropped, longs, map_arrow, record, slices, small_side, texts_of, written
 from .graph import components
 from .textvec import Words, mix
 
@@ -39,6 +43,8 @@ ROUNDS = 2
 PIVOTS = 3
 #: Cells of a sketch.
 CELLS = 192
+#: Partners of a pivot, and members of a block of a bucket, that one task compares.
+PARTNERS, MEMBERS = 4096, 2048
 #: Documents of the sample that tells common shingles, those of them a common one is in, and common shingles, at most.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 1 << 17
 #: Fingerprints that a task remembers, so that copies in it give signatures once.
@@ -125,17 +131,17 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray | None =
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("sketch", pa.binary())])
+    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_shingles", pa.int64()), ("a", pa.int64()), ("sketch", pa.binary())])
 
     def make():
         def each(batch):
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), n)
-                yield record(out, part.column("doc_id"), [len(s) for s in sets], longs(np.array([fingerprint(s, 3) for s in sets], np.uint64)), [sketch(s) for s in sets])
+                yield record(out, part.column("doc_id"), part.column("th"), [len(s) for s in sets], longs(np.array([fingerprint(s, 3) for s in sets], np.uint64)), [sketch(s) for s in sets])
 
         return each
 
-    return map_arrow(docs, make, "doc_id long, n_shingles long, a long, sketch binary")
+    return map_arrow(docs.select("doc_id", "text", "th"), make, "doc_id long, th long, n_shingles long, a long, sketch binary")
 
 
 def _common(docs: DataFrame, sets: DataFrame, n: int) -> np.ndarray:
@@ -227,24 +233,35 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "sig long, a long, pivot long")
 
 
-def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of classes of one bucket that aren't known to be connected and may be similar. mixed: sig, a, root, n,
-    sketch, sorted by sig. A bucket is compared in blocks; its members alone are held."""
-    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+def _open_pairs(placed: DataFrame, classes: DataFrame, percent: int, parts: int) -> DataFrame:
+    """Pairs (x, y) of classes of one bucket that aren't known to be connected and may be similar. placed: sig, a, root.
 
-    def pairs(a, root, n, cells):
+    A bucket is dealt into blocks of about MEMBERS, and each two blocks are compared by themselves, so no task holds more."""
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+    open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo <> hi")
+    open_ = written(open_.select("sig", F.ceil(F.col("k") / MEMBERS).cast("int").alias("blocks")), "open-buckets")
+    mixed = placed.join(open_, "sig").join(classes.select("a", "n", "sketch"), "a")
+    own, other = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = mixed.withColumn("own", own).withColumn("other", other).select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "a", "root", "n", "sketch")
+    dealt = dealt.repartition(parts, "sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+    def pairs(own, a, root, n, cells, cross: bool):
         step = 512
         for i in range(0, len(a), step):
             for j in range(i, len(a), step):
                 rows, cols = np.s_[i : i + step], np.s_[j : j + step]
                 good = root[rows, None] != root[None, cols]
+                if cross:
+                    good &= own[rows, None] != own[None, cols]
                 if i == j:
                     good &= np.arange(good.shape[0])[:, None] < np.arange(good.shape[1])
                 r, c = np.nonzero(good)
-                keep = may_link(cells[i + r], cells[j + c], n[i + r], n[j + c], percent)
-                x, y = a[i + r[keep]], a[j + c[keep]]
-                if len(x):
-                    yield np.minimum(x, y), np.maximum(x, y)
+                for lo in range(0, len(r), 1 << 15):
+                    u, v = i + r[lo : lo + (1 << 15)], j + c[lo : lo + (1 << 15)]
+                    keep = may_link(cells[u], cells[v], n[u], n[v], percent)
+                    x, y = a[u[keep]], a[v[keep]]
+                    if len(x):
+                        yield np.minimum(x, y), np.maximum(x, y)
 
     def fresh(found):
         """Batches without what this task gave just before."""
@@ -262,28 +279,29 @@ def _open_pairs(mixed: DataFrame, percent: int) -> DataFrame:
 
     def search(batches):
         held: list[tuple] = []
-        sig_held = None
+        key_held = None
 
         def close():
             if len(held) and sum(len(h[0]) for h in held) > 1:
-                a, root, n, cells = (np.concatenate([h[k] for h in held]) for k in range(4))
+                own, a, root, n, cells = (np.concatenate([h[k] for h in held]) for k in range(5))
                 if (root != root[0]).any():
-                    yield from pairs(a, root, n, cells)
+                    yield from pairs(own, a, root, n, cells, key_held[1] != key_held[2])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, a, root, n = (batch.column(k).to_numpy() for k in range(4))
-            cells = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, CELLS)
-            begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            sig, i, j, own, a, root, n = (batch.column(k).to_numpy() for k in range(7))
+            cells = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, CELLS)
+            begins = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             for lo, hi in zip(begins, [*begins[1:], len(sig)], strict=True):
-                if sig[lo] != sig_held:
+                key = int(sig[lo]), int(i[lo]), int(j[lo])
+                if key != key_held:
                     yield from close()
-                    held, sig_held = [], sig[lo]
-                held.append((a[lo:hi], root[lo:hi], n[lo:hi], cells[lo:hi]))
+                    held, key_held = [], key
+                held.append((own[lo:hi], a[lo:hi], root[lo:hi], n[lo:hi], cells[lo:hi]))
         yield from close()
 
-    return mixed.select("sig", "a", "root", "n", "sketch").mapInArrow(run, "x long, y long")
+    return dealt.mapInArrow(run, "x long, y long").distinct()
 
 
 def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -302,76 +320,115 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "x long, y long")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of pairs (x, y: classes; a written table) that are similar. Sets are made anew for the classes in question alone."""
-    sized = pairs
-    asked = pairs.select(F.col("x").alias("a")).union(pairs.select("y")).distinct()
-    wanted = written(asked.join(classes, "a").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    out = pa.schema([("a", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def _texts(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
+    """a and text of one row of each asked class (a), or of equal rows."""
+    wanted = written(classes.join(asked, "a").select(F.col("rep").alias("doc_id"), "th", "a"), "wanted")
+    found = written(docs.join(small_side(wanted, 32), ["doc_id", "th"]).select("a", "text"), "class-texts", "zstd")
+    dropped(wanted)
+    return found
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
+    """Those of pairs (x, y: classes; a written table) that are similar. y is the pivot that texts of its partners are sent to."""
+    shares = written(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("shares")), "shares")
+    lead = shares.select(F.col("y").alias("a"), F.col("y").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("partner"))
+    rest = pairs.join(shares, "y").select(F.col("x").alias("a"), F.col("y").alias("pivot"), F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("partner"))
+    asked = written(lead.union(rest), "asked")
+    sent = texts.join(small_side(asked, 32), "a").select("pivot", "share", "partner", "a", "text")
+    sent = sent.repartition(parts, "pivot", "share").sortWithinPartitions("pivot", "share", "partner")
+    out = pa.schema([("x", pa.int64()), ("y", pa.int64())])
 
     def make():
+        held: list = [None, None]  # the pivot and its set
+
         def each(batch):
             for part in slices(batch, "text"):
-                sets = shingle_sets(part.column("text"), n)
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                values = longs(np.concatenate(sets) if sets else np.zeros(0, np.uint64))
-                yield record(out, longs(np.array([fingerprint(s, 3) for s in sets], np.uint64)), pa.ListArray.from_arrays(pa.array(ends), values))
+                pivots, partners, own = (part.column(c).to_pylist() for c in ("pivot", "partner", "a"))
+                x, y = [], []
+                for pivot, partner, a, s in zip(pivots, partners, own, shingle_sets(part.column("text"), n), strict=True):
+                    if not partner:
+                        held[:] = pivot, s
+                        continue
+                    if held[0] != pivot:
+                        raise RuntimeError("a pivot without its text")
+                    common = len(np.intersect1d(s, held[1], assume_unique=True))
+                    if 100 * common >= percent * (len(s) + len(held[1]) - common):
+                        x.append(a)
+                        y.append(pivot)
+                if x:
+                    yield record(out, x, y)
 
         return each
 
-    found = map_arrow(docs.join(small_side(wanted), "doc_id", "left_semi").select("text"), make, "a long, shingles array<long>")
-    sets = written(found, "candidate-sets")
-    sets = written(sets.groupBy("a").agg(F.any_value("shingles").alias("shingles")), "class-sets")
-    sx, sy = (sets.select(F.col("a").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "xy")
-    both = sized.select("x", "y").join(sx, "x").join(sy, "y").select("x", "y", F.size(F.array_intersect("s_x", "s_y")).alias("common"), (F.size("s_x") + F.size("s_y")).alias("total"))
-    return both.where(f"100 * common >= {percent} * (total - common)").select("x", "y")
+    found = written(map_arrow(sent, make, "x long, y long"), "found")
+    dropped(shares, asked)
+    return found
+
+
+def _one_document(sets: DataFrame) -> DataFrame:
+    """doc_id and first (the least class) of documents of several rows, and the class of each of their rows that has shingles."""
+    some = F.when(F.col("n_shingles") > 0, F.col("a"))
+    many = sets.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min(some).alias("first")).where("rows > 1 AND first IS NOT NULL")
+    return written(many.select("doc_id", "first"), "repeated-ids")
 
 
 def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id that links lead to, itself included) of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("th", F.xxhash64("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sets = written(_sets(docs, n), "sets")
-    classes = written(sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("a").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")), "classes")
+    full = sets.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = written(full.groupBy("a").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")).select("a", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("th"), "n", "sketch"), "classes")
     common = _common(docs, sets, n)
     rows = _signatures(docs.where("doc_id IS NOT NULL"), n, percent, common).repartition(parts, "sig").sortWithinPartitions("sig", "a")
-    buckets = written(_shared(rows), "buckets")
+    buckets = written(_shared(rows).select("sig", "a"), "buckets")
     # the class in most buckets is the likely middle of a group of near copies: it is the pivot of each bucket it is in. Each
     # class is compared with the pivots it shares most signatures with that it isn't yet connected to, some rounds over
-    degrees = buckets.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    ranked = written(buckets.select("sig", "a").join(degrees, "a"), "ranked")
-    links, known = None, None
+    degrees = written(buckets.groupBy("a").agg(F.count(F.lit(1)).alias("k")), "degrees")
+    texts = _texts(docs, classes, degrees.select("a"))
+    ranked = written(buckets.join(degrees, "a"), "ranked")
+    dropped(buckets, degrees)
+    # rows of one doc_id are one document, so their classes are linked
+    repeated = _one_document(sets)
+    links = written(full.join(small_side(repeated), "doc_id").where("a <> first").select(F.col("a").alias("x"), F.col("first").alias("y")).distinct(), "links")
+    known, tried = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), None
     for _ in range(ROUNDS):
-        placed = ranked if known is None else written(ranked.join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")), "placed")
-        if known is None:
-            placed = placed.withColumn("root", F.col("a"))
-            tops = placed.groupBy("sig").agg(F.max(F.struct("k", "a", "root")).alias("p"))
-        else:
-            # in a bucket of several components, the middle of the largest of them there
-            sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("k", "a", "root")).alias("p"))
-            tops = sizes.groupBy("sig").agg(F.max(F.struct("n", "p")).alias("best"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("sig", F.col("best.p").alias("p"))
+        placed = written(ranked.join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")), "placed")
+        # in a bucket of several components, the middle of the largest of them there
+        sizes = placed.groupBy("sig", "root").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("k", "a", "root")).alias("p"))
+        tops = sizes.groupBy("sig").agg(F.max(F.struct("n", "p")).alias("best"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("sig", F.col("best.p").alias("p"))
         tops = written(tops.select("sig", F.col("p.a").alias("pivot"), F.col("p.root").alias("pivot_root")), "pivots")
         shared = placed.join(tops, "sig").where("root <> pivot_root").groupBy("a", "pivot").agg(F.count(F.lit(1)).alias("k"))
-        if links is not None:
-            shared = shared.join(tried, ["a", "pivot"], "left_anti")
-        # a class has a few hundred signatures, and so as many pivots at most
+        if tried is not None:
+            shared = shared.join(tried.select(F.col("x").alias("a"), F.col("y").alias("pivot")), ["a", "pivot"], "left_anti")
+        # a class has as many pivots as signatures at most, and these are fewer than the words of its text
         most = F.slice(F.sort_array(F.collect_list(F.struct("k", "pivot")), asc=False), 1, PIVOTS)
-        pairs = written(shared.groupBy("a").agg(most.alias("most")).select(F.col("a").alias("x"), F.explode("most.pivot").alias("y")), "tried")
-        tried = pairs.select(F.col("x").alias("a"), F.col("y").alias("pivot")) if links is None else tried.union(pairs.select(F.col("x").alias("a"), F.col("y").alias("pivot")))
-        more = _verified(written(_may_link(pairs, classes, percent), "pairs"), classes, docs, n, percent)
-        links = written(more if links is None else links.union(more), "links")
-        known = written(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "known")
+        chosen = shared.groupBy("a").agg(most.alias("most")).select(F.col("a").alias("x"), F.explode("most.pivot").alias("y"))
+        last, tried = tried, written(chosen if tried is None else tried.union(chosen), "tried")
+        pairs = written(_may_link(tried if last is None else tried.join(last, ["x", "y"], "left_anti"), classes, percent), "pairs")
+        dropped(placed, tops, last)
+        links, known = _linked(links, _verified(pairs, texts, n, percent, parts), known)
+        dropped(pairs)
     # classes of one bucket that these links don't connect are compared with each other
-    placed = written(buckets.join(known.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", F.coalesce("root", "a").alias("root")), "placed")
-    open_ = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    mixed = placed.join(open_, "sig", "left_semi").join(classes.select("a", "n", "sketch"), "a")
-    more = _open_pairs(mixed.repartition(parts, "sig").sortWithinPartitions("sig", "a"), percent).distinct()
-    more = written(_verified(written(more, "open-pairs"), classes, docs, n, percent), "more-links")
-    roots = components(links.union(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
+    placed = written(ranked.join(known.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", F.coalesce("root", "a").alias("root")), "placed")
+    dropped(ranked, tried)
+    pairs = written(_open_pairs(placed, classes, percent, parts), "open-pairs")
+    links, known = _linked(links, _verified(pairs, texts, n, percent, parts), known)
+    dropped(placed, pairs, texts, links)
     # a component's id is the least doc_id of its classes
-    least = written(roots.join(classes, roots["node"] == classes["a"]).select("node", "root", "rep"), "roots")
+    least = written(known.join(classes, known["node"] == classes["a"]).select("node", "root", "rep"), "roots")
     named = written(least.join(least.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("a"), "least"), "named")
-    named = written(classes.select("a", "rep").join(named, "a", "left").select("a", F.coalesce("least", "rep").alias("component_id")), "class-components")
-    own = F.when(F.col("n_shingles") > 0, F.col("a"))
-    out = sets.where("doc_id IS NOT NULL").withColumn("a", own).join(named, "a", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named, old = written(classes.select("a", "rep").join(named, "a", "left").select("a", F.coalesce("least", "rep").alias("component_id")), "class-components"), named
+    dropped(least, known, classes, old)
+    own = F.when(F.col("n_shingles") > 0, F.col("a")).otherwise(F.col("first"))  # a row without words has its document's links
+    out = sets.where("doc_id IS NOT NULL").join(small_side(repeated), "doc_id", "left").withColumn("a", own).join(named, "a", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.union(sets.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+
+
+def _linked(links: DataFrame, more: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links, and the components they make; what they replace is deleted."""
+    every = written(links.union(more), "links")
+    roots = components(every.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    dropped(links, more, known)
+    return every, roots

@@ -298,6 +298,36 @@ def test_ngram_join(docs, n, percent):
     assert {r["component_id"] for r in got if r["doc_id"] is None} == {None}
 
 
+def test_ngram_join_repeated_ids(spark):
+    """Rows of one doc_id with different texts are one document: its links are those of all its rows."""
+    rng = random.Random(12)
+    a, b, c = text(rng, 60), text(rng, 60), text(rng, 60)
+    data = [(3, a), (5, a), (5, b), (7, b), (5, ""), (8, ""), (9, c), (11, c + " more"), (11, b + " more"), (20, None), (20, None), (None, a)]
+    got = [(r["doc_id"], r["component_id"]) for r in ngram_join.similar_components(spark.createDataFrame(data, "doc_id long, text string").repartition(3)).collect()]
+    want = brute_components(data, 5, 80)
+    assert want == {3: 3, 5: 3, 7: 3, 8: 8, 9: 3, 11: 3, 20: 20}
+    assert Counter(got) == Counter((i, want.get(i)) for i, _ in data)
+
+
+def test_ngram_join_blocks(spark, monkeypatch):
+    """Hot buckets in blocks, and pivots of many partners in shares, give the same."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", 3)
+    monkeypatch.setattr(ngram_join, "PARTNERS", 2)
+    rng = random.Random(5)
+    core = text(rng, 120).split()
+    data = []
+    for i in range(60):
+        w = list(core)
+        for _ in range(rng.randrange(0, 12)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+        data.append((i, " ".join(w)))
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    for rounds in (0, 2):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_components(frame, 3, 80).collect()}
+        assert got == brute_components(data, 3, 80)
+
+
 def test_ngram_join_empty(none):
     assert ngram_join.similar_components(none).count() == 0
 
