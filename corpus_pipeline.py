@@ -1,8 +1,12 @@
 """The corpus pipeline: language ID, near duplicates, decontamination, mixing, token records, one stage upon another.
 
 Each stage is a function of (spark, docs, sf_dir); run() writes each stage's rows as Parquet in the shared folder and reads
-them again as the next one's docs. All but the last give the columns of documents. Nulls and odd rows: see each operator; a
-document with a null doc_id passes the near-duplicate stage, since it links with nothing.
+them again as the next one's docs. All but the last give the columns of documents, in this order; extra columns are left out.
+
+Nulls and odd rows: language ID drops null, empty and letterless texts. In the near-duplicate stage rows of one doc_id are
+one document: all its distinct texts stay or go together, and of rows with equal doc_id and text (null doc_ids too) one stays; a null doc_id
+links with nothing else. Decontamination keeps rows whatever their doc_id. The mix takes each row by itself, a null source being a
+source of its own. Empty tables give empty tables in every stage.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import language_id, mixing
-from eventloom.llm.common import scratch_path, written
+from eventloom.llm.common import scratch_path, small_side, written
 from eventloom.llm.decontaminate import decontaminate
 from eventloom.llm.ngram_join import similar_components
 from eventloom.llm.queries import END_ID, tokenizer_path
@@ -29,9 +33,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five-word shingles, similarity 0.8 or more) the least doc_id stays."""
+    docs = docs.select(*COLUMNS)
     found = similar_components(docs, n=5, percent=80)
     gone = written(found.where("component_id < doc_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    kept = docs.join(small_side(gone), "doc_id", "left_anti")
+    # rows of one doc_id, and of none, come once for each of their texts
+    again = written(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc_id"), "repeated-ids")
+    many = kept.join(small_side(again), kept["doc_id"].eqNullSafe(again["doc_id"]), "left_semi")
+    once = many.groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row")).select("doc_id", "text", "row.*")
+    return kept.join(small_side(again), kept["doc_id"].eqNullSafe(again["doc_id"]), "left_anti").select(*COLUMNS).union(once.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
