@@ -10,21 +10,28 @@ rotated right by 15 bits plus 0xA282EAD8, so that a checksum stored beside check
 text writer, with the frame's last byte as line separator, commits the files: they reach any store Spark writes to, and a
 task that is run again after an executor is lost leaves no double rows. The offset index is a Parquet table beside them.
 
-Nulls: a null text is empty and gets the end id alone; a null doc_id sorts first. Rows with one doc_id all stay, ordered
-by their text. An empty table gives no record. Other columns are ignored.
+Records stand in ascending order of doc_id, then of a hash of the text. Files are dealt by that order and the row's number last, so
+that rows of one doc_id, or of none, and even equal rows spread over as many files as they fill.
+
+A text is encoded as the tokenizer's plain call does: the string of a special token in a text (here "<|endoftext|>") gives
+that token. special_as_text=True takes such strings as ordinary text.
+
+Nulls: a null text is empty and gets the end id alone; a null doc_id sorts first. Rows with one doc_id all stay. An empty table gives no
+record. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, record, slices, small_side, texts_of
+from .common import map_arrow, record, slices, small_side, texts_of, written
 from .textvec import mix, powers, random64
 
 SEPARATOR = "\n"
@@ -106,23 +113,40 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 itself, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
     """Token ids of whole texts, as bytes.
 
     Texts are cut into pieces that the tokenizer would encode alike alone, and each distinct piece (by a 64-bit hash that binds its length) is
     encoded once by the tokenizer; the rest is gathered with numpy. New pieces that begin with a space are encoded many at a time, joined
-    again, and told apart by the bytes their tokens stand for.
+    again, and told apart by the bytes their tokens stand for. The bytes that the gathered ids stand for are compared with the text; a
+    text that differs, or that holds the string of an added token, is encoded by the tokenizer as a whole. A tokenizer that isn't byte-level without a normaliser encodes all texts as
+    a whole.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.tokenizer.encode_special_tokens = special_as_text
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.marks = [t.content.encode() for t in added.values() if t.content and not (special_as_text and t.special)]
+        rules = json.loads(self.tokenizer.to_str())
+        split = rules.get("pre_tokenizer") or {}
+        self.cuts = rules.get("normalizer") is None and split.get("type") == "ByteLevel" and not split.get("add_prefix_space", True) and split.get("use_regex", True)
+        byte_of = _byte_of() if self.cuts else {}
+        spelled = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
-            self.size[i] = len(token)
+            spelled[i] = token.encode() if i in added or not self.cuts else bytes(byte_of[c] for c in token)
+        self.size = np.array([len(x) for x in spelled], np.int64)
+        self.spelled, self.spelled_at = np.frombuffer(b"".join(spelled), np.uint8), np.cumsum(self.size) - self.size
         self.narrow = len(self.size) <= 1 << 16 and end_id < 1 << 16
         self.kind = np.dtype("<u2" if self.narrow else "<u4")
         self.end = end_id
@@ -134,6 +158,20 @@ class Encoder:
         self.at, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.store = np.zeros(0, self.kind)
 
+    def unlike(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Texts whose ids don't stand for their bytes."""
+        ends = np.concatenate([[0], np.cumsum(self.size[ids])])
+        bad = set(np.flatnonzero(np.diff(ends[first]) != np.diff(offsets)).tolist())
+        if bad:
+            return np.arange(len(offsets) - 1)  # places are shifted; all are made anew
+        for lo in range(0, len(ids), 1 << 18):
+            some = ids[lo : lo + (1 << 18)]
+            n, begin = self.size[some], int(ends[lo])
+            spots = np.arange(int(n.sum())) + np.repeat(self.spelled_at[some] - (ends[lo : lo + len(some)] - begin), n)
+            wrong = np.flatnonzero(self.spelled[spots] != data[begin : begin + len(spots)])
+            bad.update((np.searchsorted(offsets, begin + wrong, side="right") - 1).tolist())
+        return np.array(sorted(bad), np.int64)
+
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(got.ids, self.kind) for got in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -167,7 +205,14 @@ class Encoder:
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text and the end id, in the encoder's width."""
         data, offsets = texts_of(column)
-        starts = pieces_of(data, offsets)
+        whole = data.tobytes()
+        alone = set() if self.cuts else set(range(len(offsets) - 1))
+        for mark in self.marks:
+            at = whole.find(mark)
+            while at >= 0:
+                alone.add(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = whole.find(mark, at + 1)
+        starts = pieces_of(data, offsets) if self.cuts else np.zeros(0, np.int64)
         ids, first = np.zeros(0, self.kind), np.zeros(len(offsets), np.int64)
         if len(starts):
             lengths = np.diff(np.append(starts, len(data)))
@@ -179,7 +224,6 @@ class Encoder:
             spot = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
             new = np.flatnonzero(self.keys[spot] != keys) if len(self.keys) else np.arange(len(keys))
             if len(new):
-                whole = data.tobytes()
                 lo = starts[one[new]]
                 self.learn(keys[new], [whole[a:b] for a, b in zip(lo.tolist(), (lo + lengths[one[new]]).tolist(), strict=True)])
                 spot = np.searchsorted(self.keys, keys)
@@ -187,23 +231,29 @@ class Encoder:
             sums = np.concatenate([[0], np.cumsum(n)])
             ids = self.store[np.repeat(at - sums[:-1], n) + np.arange(int(sums[-1]))]
             first = sums[np.searchsorted(starts, offsets)]
+            alone.update(self.unlike(data, offsets, ids, first).tolist())
         end = np.array([self.end], self.kind).tobytes()
         raw, width = ids.tobytes(), self.kind.itemsize
-        return [raw[a:b] + end for a, b in zip((first[:-1] * width).tolist(), (first[1:] * width).tolist(), strict=True)]
+        out = [raw[a:b] + end for a, b in zip((first[:-1] * width).tolist(), (first[1:] * width).tolist(), strict=True)]
+        rest = sorted(alone)
+        for i, found in zip(rest, self._ids([whole[offsets[i] : offsets[i + 1]].decode() for i in rest]), strict=True):
+            out[i] = found.tobytes() + end
+        return out
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder_of(path: str, end_id: int) -> Encoder:
+def encoder_of(path: str, end_id: int, special_as_text: bool = False) -> Encoder:
     """One encoder a worker process, so that tasks in turn share the pieces it knows."""
-    if (path, end_id) not in _ENCODERS:
+    key = path, end_id, special_as_text
+    if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_bytes: int = FILE_BYTES, special_as_text: bool = False) -> DataFrame:
     """Writes path/data and path/index in ascending doc_id order; gives the index.
 
     docs: doc_id long, text string. The index has file, record (its number in the file), doc_id, offset, length,
@@ -212,14 +262,15 @@ def write_records(docs: DataFrame, path: str, tokenizer: str, end_id: int, file_
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumns({"th": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(parts, "doc_id", "th", "row").sortWithinPartitions("doc_id", "th", "row").select("doc_id", "text")
     out = pa.schema([("frame", pa.binary())])
 
     def make():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder = encoder_of(tokenizer, end_id)
+        encoder = encoder_of(tokenizer, end_id, special_as_text)
 
         def each(batch):
             for part in slices(batch, "text", 4 << 20):
@@ -253,11 +304,16 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     return map_arrow(files, make, "file string, record long, doc_id long, offset long, length long, n_tokens long, ids_crc32 long, before long")
 
 
+def file_number(file: Column) -> Column:
+    """What orders data files: the task's number in their name, then the number of the task's file; both outgrow their padding."""
+    return F.struct(*[F.regexp_extract(file, r"^part-(\d+)-.*?(?:-c(\d+))?(?:\.[^-]*)?$", k).cast("long") for k in (1, 2)], file)
+
+
 def with_starts(index: DataFrame) -> DataFrame:
     """The index with start: the tokens of all records before it, over all files. One row a file goes to one task."""
     totals = index.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select("file", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
+    ahead = Window.orderBy(file_number(F.col("file"))).rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(totals.select("file", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base")), "file-starts")
     return index.join(small_side(bases, 200), "file").withColumn("start", F.col("base") + F.col("before"))
 
 
