@@ -56,7 +56,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = mixing.mixed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    found = mixing.mixed(documents(spark, sf_dir).select("doc_id", "text", "source"), keep=["doc_id"])
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -5,6 +5,7 @@ import random
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 from math import log10
 
 import numpy as np
@@ -269,6 +270,54 @@ def test_flow_on_overlap():
     assert cost == pytest.approx(300 + 3 * 100)
 
 
+def poured(sizes, weights, share, most):
+    """Targets by pouring: the level at which min(level * weight, most * size) sums up to the share, by bisection over fractions."""
+    goal = Fraction(share) * sum(sizes)
+    low, high = Fraction(0), Fraction(most * max(sizes, default=0) + 1)
+    if sum(most * n for n in sizes) <= goal:
+        return [float(most * n) for n in sizes]
+    for _ in range(200):
+        level = (low + high) / 2
+        if sum(min(level * w, most * n) for n, w in zip(sizes, weights, strict=True)) < goal:
+            low = level
+        else:
+            high = level
+    return [float(min(high * w, most * n)) for n, w in zip(sizes, weights, strict=True)]
+
+
+def test_targets_by_pouring():
+    rng = random.Random(6)
+    for _ in range(50):
+        sizes = [rng.choice([0, 1, 10, 500, 9000]) for _ in range(rng.randrange(1, 8))]
+        weights = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+        assert mixing.targets(sizes, weights) == pytest.approx(poured(sizes, weights, 1.5, 2))
+
+
+@pytest.mark.parametrize("few", [1, 20, 10**6])
+def test_mixing_repeated_rows(spark, few):
+    """Rows of one doc_id, and equal rows, are taken each, up to the target; every depth of histogram gives the same."""
+    data = [(i, "w " * (1 + i % 9), "a") for i in range(400)] + [(5, "same " * 7, "b")] * 300 + [(6, "v " * (1 + i), "c") for i in range(50)] + [(None, "u u", None)] * 40
+    frame = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3).withColumns({c: F.lit("clash") for c in ("left", "last", "n", "before", "__left", "k")})
+    got = mixing.mixed(frame, few=few).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["source"]].append(r)
+    order = ["a", "b", "c", None]
+    sizes = [sum(len(words_of(t)) for _, t, s in data if s == x) for x in order]
+    for x, n, g in zip(order, sizes, poured(sizes, [5, 2, 1, 5], 1.5, 2), strict=True):
+        assert {(r["source_size"], round(r["target"], 6)) for r in by[x]} == {(n, round(g, 6))}
+        assert abs(sum(r["taken"] for r in by[x]) - g) <= max(r["size"] for r in by[x])
+    assert {r["left"] for r in got} == {"clash"}
+    narrow = mixing.mixed(frame, few=few, keep=["doc_id", "last"]).collect()
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in narrow) == Counter((r["doc_id"], r["size"], r["taken"]) for r in got)
+
+
+def test_flow_of_many_sources():
+    capacity = {(i,): 10 for i in range(20_000)}
+    flow = mixing.min_cost_flow(capacity, [15.0] * 20_000)
+    assert len(flow) == 20_000 and set(flow.values()) == {15.0}
+
+
 def test_mixing(docs, none):
     got = mixing.mixed(docs).collect()
     again = {(r["doc_id"], r["text"], r["taken"]) for r in mixing.mixed(docs.repartition(2)).collect()}
@@ -280,9 +329,9 @@ def test_mixing(docs, none):
         by[r["source"]].append(r)
     order = sorted(by, key=lambda s: (s is None, s or ""))
     sizes = [sum(r["size"] for r in by[s]) for s in order]
-    goal = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))])
+    goal = poured(sizes, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5, 2)
     for s, n, g in zip(order, sizes, goal, strict=True):
-        assert {r["source_size"] for r in by[s]} == {n} and {r["target"] for r in by[s]} == {g}
+        assert {r["source_size"] for r in by[s]} == {n} and [r["target"] for r in by[s]] == pytest.approx([g] * len(by[s]))
         largest = max(r["size"] for r in by[s])
         assert abs(sum(r["taken"] for r in by[s]) - g) <= largest
     assert mixing.mixed(none).count() == 0
