@@ -44,10 +44,11 @@ def recipes(docs: DataFrame, cut: str = CUT, most: int = CHUNK, hash_bits: int =
     ident = lambda c: F.xxhash64(c).bitwiseAND(low)
     base = docs.select("doc_id", folded(F.col("text")).alias("__norm"))
     # the cut pieces are a column of their own, and explode_outer infers no filter: either would make them more than once
-    cuts = base.select("doc_id", "__norm", F.split("__norm", cut).alias("__pieces")).select("doc_id", "__norm", bounded(F.col("__pieces"), most).alias("__chunks"))
+    cuts = base.select("doc_id", "__norm", F.split("__norm", cut).alias("__pieces")).select("doc_id", F.sha2("__norm", 256).alias("text_sha256"), bounded(F.col("__pieces"), most).alias("__chunks"))
+    cuts = written(cuts, "chunks", "zstd")
     distinct = cuts.select(F.explode_outer("__chunks").alias("chunk")).select(ident(F.col("chunk")).alias("h"), "chunk").distinct()
     shared = written(distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "chunk-clashes")
-    plain = cuts.select("doc_id", F.sha2("__norm", 256).alias("text_sha256"), F.transform("__chunks", lambda c: ident(c)).alias("recipe"), "__chunks")
+    plain = cuts.select("doc_id", "text_sha256", F.transform("__chunks", lambda c: ident(c)).alias("recipe"), "__chunks")
     if shared.isEmpty():
         return plain.drop("__chunks")
     ranked = distinct.join(small_side(shared), "h").select("h", "chunk", F.row_number().over(Window.partitionBy("h").orderBy("chunk")).alias("rank"))
