@@ -8,20 +8,19 @@ windows are the maximal repeats, and all their words go. No two occurrences are
 aggregated where they are read, so a passage that all documents share costs a row a task.
 
 Nulls: a null text is empty and has no word. A null doc_id is neither a source nor loses words. Rows repeated with one doc_id are
-one document: none is a source for another; each loses what lesser doc_ids have of its own words. An empty table gives no row.
+one document, whose windows are those of all its rows: none is a source for another; each loses what lesser doc_ids have of its
+own words. Places of words belong to a row's doc_id and text. An empty table gives no row.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, longs, map_arrow, record, slices, texts_of, written
-from .textvec import Words, mix
+from .common import BROADCAST_BYTES, dropped, longs, map_arrow, record, slices, texts_of, written
+from .textvec import Words
 
 SPAN, GRAM = 50, 20
 
@@ -44,6 +43,7 @@ class Windows:
         self.words = w = Words(*texts_of(column))
         self.span = span
         self.hashes = w.hashes()
+        self.others = None
         least = window_least(w.grams(self.hashes, gram)[: max(0, w.n - gram + 1)], span - gram + 1)
         good = w.whole(span)
         self.at = np.flatnonzero(good[: len(least)])
@@ -58,29 +58,30 @@ class Windows:
         return self.text[new], self.anchor[new]
 
     def prints(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two fingerprints of the chosen windows; the second goes over the words' hashes in another form and binds the anchor."""
+        """Two fingerprints of the chosen windows; the second goes over hashes of the words that share nothing with the first's."""
+        if self.others is None:
+            self.others = self.words.hashes(second=True)
         one = self.words.grams(self.hashes, self.span)[self.at[chosen]]
-        two = self.words.grams(mix(self.hashes + np.uint64(9)), self.span)[self.at[chosen]]
-        return one, mix(two ^ self.anchor[chosen])
+        return one, self.words.grams(self.others, self.span)[self.at[chosen]]
 
 
 def _anchors(docs: DataFrame, span: int, gram: int) -> DataFrame:
-    out = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64())])
+    out = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64())])
 
     def make():
         def each(batch):
             for part in slices(batch, "text"):
                 text, anchor = Windows(part.column("text"), span, gram).anchors()
-                yield record(out, longs(anchor), part.column("doc_id").to_numpy(zero_copy_only=False)[text])
+                yield record(out, longs(anchor), *(part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "th")))
 
         return each
 
-    return map_arrow(docs, make, "anchor long, doc_id long")
+    return map_arrow(docs, make, "anchor long, doc_id long, th long")
 
 
 def _windows(marked: DataFrame, span: int, gram: int) -> DataFrame:
     """Fingerprints of the windows under the shared anchors (column anchors) of each text, with their first words."""
-    out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+    out = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("start", pa.int32())])
 
     def make():
         def each(batch):
@@ -98,11 +99,11 @@ def _windows(marked: DataFrame, span: int, gram: int) -> DataFrame:
                 one, two = found.prints(chosen)
                 text = found.text[chosen]
                 start = found.at[chosen] - found.words.first[text]
-                yield record(out, longs(one), longs(two), part.column("doc_id").to_numpy(zero_copy_only=False)[text], start.astype(np.int32))
+                yield record(out, longs(one), longs(two), *(part.column(c).to_numpy(zero_copy_only=False)[text] for c in ("doc_id", "th")), start.astype(np.int32))
 
         return each
 
-    return map_arrow(marked, make, "k1 long, k2 long, doc_id long, start int")
+    return map_arrow(marked, make, "k1 long, k2 long, doc_id long, th long, start int")
 
 
 def merged(starts: list[int], span: int) -> list[int]:
@@ -117,38 +118,45 @@ def merged(starts: list[int], span: int) -> list[int]:
 
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id and ranges (array<int>: begin, end, begin, end ... in words) of all maximal repeats of passages of lesser doc_ids."""
-    docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, th (a hash of the row's text) and ranges (array<int>: begin, end, begin, end ... in words) of all maximal repeats
+    of passages of lesser doc_ids."""
+    docs = keyed(docs).where("doc_id IS NOT NULL")
     anchors = written(_anchors(docs, span, gram), "anchors")
     shared = written(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared-anchors")
-    marks = written(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "marks")
-    marked = docs.join(sized(marks, "anchors", 8), "doc_id").select("doc_id", "text", "anchors")
+    marks = written(anchors.join(shared, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set("anchor").alias("anchors")), "marks")
+    dropped(anchors, shared)
+    marked = docs.join(sized(marks, "anchors", 8), ["doc_id", "th"]).select("doc_id", "th", "text", "anchors")
     windows = _windows(marked, span, gram)
     first = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("k1", "k2", "lo")
     first = written(first, "repeated-windows")
-    late = windows.join(first, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "start")
-    lists = late.groupBy("doc_id").agg(F.sort_array(F.collect_set("start")).alias("starts"))
-    out = pa.schema([("doc_id", pa.int64()), ("ranges", pa.list_(pa.int32()))])
+    late = windows.join(first, ["k1", "k2"]).where("doc_id > lo").select("doc_id", "th", "start")
+    lists = late.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    out = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("ranges", pa.list_(pa.int32()))])
 
     def make():
         def each(batch):
-            yield record(out, batch.column("doc_id"), [merged(s, span) for s in batch.column("starts").to_pylist()])
+            yield record(out, batch.column("doc_id"), batch.column("th"), [merged(s, span) for s in batch.column("starts").to_pylist()])
 
         return each
 
-    return written(map_arrow(lists, make, "doc_id long, ranges array<int>"), "ranges")
+    found = written(map_arrow(lists, make, "doc_id long, th long, ranges array<int>"), "ranges")
+    dropped(marks, first)
+    return found
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
 
 
 def sized(side: DataFrame, column: str, width: int) -> DataFrame:
     """side (a written table) with a broadcast hint if its rows and the arrays in column are within BROADCAST_BYTES."""
     n, inside = side.agg(F.count(F.lit(1)), F.sum(F.size(column))).first()
-    return F.broadcast(side) if n * 48 + (inside or 0) * width <= BROADCAST_BYTES else side
+    return F.broadcast(side) if n * 56 + (inside or 0) * width <= BROADCAST_BYTES else side
 
 
 def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words left, one space between) of every row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = docs.join(sized(repeats(docs, span, gram), "ranges", 4), "doc_id", "left")
+    found = keyed(docs).join(sized(repeats(docs, span, gram), "ranges", 4), ["doc_id", "th"], "left").select("doc_id", "text", "ranges")
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def make():
@@ -172,21 +180,3 @@ def without_repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> Data
 
 def digest(kept: DataFrame) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def brute_force(texts: dict[int, str | None], span: int) -> dict[int, tuple[int, int, str]]:
-    """The same by definition, for tests: doc_id to (n_words, n_removed, kept_sha256)."""
-    words = {i: (t or "").encode().split() for i, t in texts.items()}
-    first: dict[tuple, int] = {}
-    for i in sorted(words):
-        for s in range(len(words[i]) - span + 1):
-            first.setdefault(tuple(words[i][s : s + span]), i)
-    out = {}
-    for i, w in words.items():
-        gone = set()
-        for s in range(len(w) - span + 1):
-            if first[tuple(w[s : s + span])] < i:
-                gone.update(range(s, s + span))
-        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
-        out[i] = len(w), len(gone), hashlib.sha256(kept).hexdigest()
-    return out

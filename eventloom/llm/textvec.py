@@ -18,8 +18,9 @@ def random64(seed: int, n: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64 - 1, n, dtype=np.uint64) | np.uint64(1)
 
 
-_BYTE = random64(11, 256)
+_BYTE, _BYTE2 = random64(11, 256), random64(13, 256)
 _BASE = 0x9E3779B97F4A7C15 | 1
+_BASE2 = 0xBF58476D1CE4E5B9
 _BASE_INV = pow(_BASE, -1, 2**64)
 _GRAM = 0xD1342543DE82EF95
 _GRAM_INV = pow(_GRAM, -1, 2**64)
@@ -73,14 +74,15 @@ class Words:
         """The text of each word."""
         return np.repeat(np.arange(len(self.offsets) - 1), self.counts())
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, second: bool = False) -> np.ndarray:
+        """The hash of each word; `second`: one by another table and base."""
         if not self.n:
             return np.zeros(0, np.uint64)
         lo = int(self.starts[0])
         spans = np.diff(np.append(self.starts, len(self.data)))
         place = np.arange(len(self.data) - lo, dtype=np.int32) - np.repeat((self.starts - lo).astype(np.int32), spans)
-        values = np.where(self.space, np.uint64(0), _BYTE)[self.data[lo:]]
-        values *= powers(_BASE, int(spans.max()))[place]
+        values = np.where(self.space, np.uint64(0), _BYTE2 if second else _BYTE)[self.data[lo:]]
+        values *= powers(_BASE2 if second else _BASE, int(spans.max()))[place]
         return mix(np.add.reduceat(values, self.starts - lo))
 
     @staticmethod

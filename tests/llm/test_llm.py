@@ -432,19 +432,44 @@ def test_signatures_lose_no_pair():
 # --- 7 substrings
 
 
+def brute_substrings(rows, span):
+    """By definition, for rows (doc_id, text): as many (doc_id, n_words, n_removed, kept_sha256)."""
+    rows = [(i, words_of(t)) for i, t in rows]
+    first: dict[tuple, int] = {}
+    for i, w in rows:
+        if i is not None:
+            for s in range(len(w) - span + 1):
+                key = tuple(w[s : s + span])
+                first[key] = min(i, first.get(key, i))
+    out = Counter()
+    for i, w in rows:
+        gone = set()
+        for s in range(len(w) - span + 1 if i is not None else 0):
+            if first[tuple(w[s : s + span])] < i:
+                gone.update(range(s, s + span))
+        kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
+        out[i, len(w), len(gone), hashlib.sha256(kept).hexdigest()] += 1
+    return out
+
+
+def digests(frame):
+    return Counter(tuple(r) for r in substring_dedup.digest(substring_dedup.without_repeats(frame)).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+
+
 def test_substring_dedup(docs, none):
-    unique = {}
-    for r in docs.collect():
-        if r["doc_id"] is not None:
-            unique[r["doc_id"]] = r["text"]
-    frame = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.digest(substring_dedup.without_repeats(frame)).collect()}
-    assert got == substring_dedup.brute_force(unique, 50)
-    assert sum(v[1] > 0 for v in got.values()) > 10
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    got = digests(docs)
+    assert got == brute_substrings(rows, 50)
+    assert sum(k[2] > 0 for k in got) > 10
     assert substring_dedup.without_repeats(none).count() == 0
-    whole = substring_dedup.without_repeats(docs).collect()
-    assert len(whole) == docs.count()
-    assert {(r["n_removed"], r["kept"]) for r in whole if r["doc_id"] is None and r["n_words"] == 0} == {(0, "")}
+
+
+def test_substring_dedup_repeated_ids(spark):
+    """Several texts under one doc_id: each row loses its own words alone, and none is a source for another of its doc_id."""
+    rng = random.Random(11)
+    p, q = text(rng, 60), text(rng, 55)
+    rows = [(1, p + " x"), (5, text(rng, 9) + " " + p + " a"), (5, text(rng, 80)), (5, q), (5, q + " again"), (7, q), (7, q), (8, "no " * 49), (None, p), (9, None), (9, p + " " + p)]
+    assert digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute_substrings(rows, 50)
 
 
 # --- 8 language model
