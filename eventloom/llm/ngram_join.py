@@ -4,17 +4,18 @@ Words have A-Z lower-cased; a set holds the 64-bit hashes of all distinct shingl
 where there are fewer words. Two sets link when 100 * intersection >= percent * union.
 
 Sets are put in bands of size, such that similar sets lie in one band or in neighbours. Each band has a bound k on the
-symmetric difference of such sets. The domain of shingles is dealt into n1 = k / 2 + 1 + SPARE groups of PARTS parts, so that
-in SPARE + 1 groups at least two similar sets differ by one shingle at most, and agree on all parts of it but one. Every
-choice of all parts but one is a signature, and similar sets share one. A signature of fewer than WEAK shingles that
-are rare says little; a set leaves those out unless more than SPARE of its groups have one. No link is lost by that: if either
-set of a pair has SPARE such groups at most, one of the SPARE + 1 groups is strong in it and, being equal, in the other.
+symmetric difference of such sets. The domain of shingles is dealt into n1 = k / 2 + 1 + spare groups of PARTS parts, so that
+in spare + 1 groups at least two similar sets differ by one shingle at most, and agree on all parts of it but one. Every
+choice of all parts but one is a signature, and similar sets share one. A signature of few shingles that
+are rare says little: one of none would be shared by all long texts of a size. A set leaves out its signatures of fewer than WEAK such shingles, or else of none,
+unless more than `spare` of its groups have one; spare grows with the groups, so that few sets must keep them. No link is lost by that: take the set of a pair that leaves out
+more. It has `spare` such groups at most, so one of the spare + 1 groups is strong in it and, being equal, in the other.
 Which shingles are common is told by a bounded sample of documents; any choice leaves the result the same.
 
 Copies with one set are one class, known by the set's fingerprint, before anything else. In a bucket of one signature, all
 classes are first compared with pivots, ROUNDS times, which settles most groups of near copies with a comparison or two each. Only
 classes that are not yet known to be connected are then compared with each other, a hot bucket in blocks over many tasks.
-Before any text is fetched, a sketch (how many shingles fall in each of CELLS cells, whose differences add up to the symmetric
+Before any text is fetched, a sketch (how many shingles fall in each of some cells, the more the larger the set, whose differences add up to the symmetric
 difference at most) rules out most pairs that aren't similar. Every link is verified on the whole sets: one text of each class that
 shares a bucket is written once, goes to each pivot it is compared with, and sets are made there; a pivot of many
 partners is dealt over several tasks. Tables are deleted as soon as a later one stands.
@@ -36,13 +37,14 @@ from .common import dropped, longs, map_arrow, record, slices, small_side, texts
 from .graph import components
 from .textvec import Words, mix
 
-PARTS, SPARE, WEAK = 3, 3, 2
+#: SPARE is the least number of spare groups, SPARE_SHARE their share of the groups that the bound alone needs.
+PARTS, SPARE, SPARE_SHARE, WEAK = 3, 3, 0.2, 2
 #: Rounds of comparisons with pivots, before what is left is compared pair by pair.
 ROUNDS = 2
 #: Pivots that a class is compared with in a round.
 PIVOTS = 3
-#: Cells of a sketch.
-CELLS = 192
+#: Cells of a sketch at least, and shingles for each cell of a larger one.
+CELLS, PER_CELL = 256, 8
 #: Partners of a pivot, and members of a block of a bucket, that one task compares.
 PARTNERS, MEMBERS = 4096, 2048
 #: Documents of the sample that tells common shingles, those of them a common one is in, and common shingles, at most.
@@ -81,17 +83,36 @@ def bands(percent: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(shingles: np.ndarray) -> bytes:
-    cells = (mix(shingles + np.uint64(5)) >> np.uint64(32)) * np.uint64(CELLS) >> np.uint64(32)
-    return np.minimum(np.bincount(cells.astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+    """Counts of shingles by the highest bits of a hash; as many cells as the power of two that the size asks for."""
+    cells = max(CELLS, 1 << max(0, (len(shingles) // PER_CELL).bit_length()))
+    at = mix(shingles + np.uint64(5)) >> np.uint64(64 - cells.bit_length() + 1)
+    return np.minimum(np.bincount(at.astype(np.int64), minlength=cells), 255).astype(np.uint8).tobytes()
+
+
+def sketches(column: list[bytes], cells: int) -> np.ndarray:
+    """Sketches of one length as rows of so many cells, neighbours added up."""
+    rows = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+    return rows.reshape(len(column), cells, -1).sum(-1, dtype=np.int32)
+
+
+def folded(column: list[bytes]) -> np.ndarray:
+    """Sketches as rows of as many cells as the shortest has."""
+    lengths = np.array([len(x) for x in column], np.int64)
+    cells = int(lengths.min())
+    out = np.zeros((len(column), cells), np.int32)
+    for n in np.unique(lengths):
+        at = np.flatnonzero(lengths == n)
+        out[at] = sketches([column[i] for i in at.tolist()], cells)
+    return out
 
 
 def may_link(x: np.ndarray, y: np.ndarray, n_x: np.ndarray, n_y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes and sketches (rows of CELLS) leave it open that sets are similar."""
-    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(-1)
+    """Whether sizes and sketches (rows of cells) leave it open that sets are similar."""
+    apart = np.abs(x - y).sum(-1)
     return (apart * (100 + percent) <= (n_x + n_y) * (100 - percent)) & (100 * np.minimum(n_x, n_y) >= percent * np.maximum(n_x, n_y))
 
 
-def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray | None = None, parts: int = PARTS, spare: int = SPARE, weak: int = WEAK) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray | None = None, parts: int = PARTS, weak: int = WEAK) -> tuple[np.ndarray, np.ndarray]:
     """(set, signature) of all signatures of non-empty sets, in all bands they belong to."""
     sizes = np.array([len(s) for s in sets], np.int64)
     if not sizes.any():
@@ -108,7 +129,9 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray | None =
     for b in (band, band - 1):
         use = (b >= 0) & (sizes > 0)
         use[use] &= bound[b[use]] > 0  # without a difference only equal sets are similar, and those are one class
-        groups = np.where(use, bound[np.maximum(b, 0)] // 2 + 1 + spare, 0)
+        least = bound[np.maximum(b, 0)] // 2 + 1
+        spare = np.maximum(SPARE, (least * SPARE_SHARE).astype(np.int64))
+        groups = np.where(use, least + spare, 0)
         start = np.concatenate([[0], np.cumsum(groups)])
         take = use[of]
         own = of[take]
@@ -121,9 +144,11 @@ def signatures(sets: list[np.ndarray], percent: int, common: np.ndarray | None =
         sums, counts = sums.reshape(total, parts), counts.reshape(total, parts)
         rest, left = sums.sum(1, dtype=np.uint64)[:, None] - sums, counts.sum(1)[:, None] - counts
         owner = np.repeat(np.arange(len(sets)), groups)
-        frail = left < weak
-        many = np.bincount(owner, frail.any(1), len(sets)) > spare
-        keep = ~frail | many[owner][:, None]
+        keep = np.ones(left.shape, bool)
+        for bar in range(1, weak + 1):  # the highest bar that few enough groups fail
+            frail = left < bar
+            few = np.bincount(owner, frail.any(1), len(sets)) <= spare
+            keep &= ~(frail & few[owner][:, None])
         place = ((b[owner] << 40) + (np.arange(total) - start[owner]) * parts)[:, None] + np.arange(parts)
         owners.append(np.broadcast_to(owner[:, None], keep.shape)[keep])
         found.append(mix(rest + mix(place.astype(np.uint64)))[keep])
@@ -283,15 +308,15 @@ def _open_pairs(placed: DataFrame, classes: DataFrame, percent: int, parts: int)
 
         def close():
             if len(held) and sum(len(h[0]) for h in held) > 1:
-                own, a, root, n, cells = (np.concatenate([h[k] for h in held]) for k in range(5))
+                own, a, root, n = (np.concatenate([h[k] for h in held]) for k in range(4))
                 if (root != root[0]).any():
-                    yield from pairs(own, a, root, n, cells, key_held[1] != key_held[2])
+                    yield from pairs(own, a, root, n, folded([x for h in held for x in h[4]]), key_held[1] != key_held[2])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig, i, j, own, a, root, n = (batch.column(k).to_numpy() for k in range(7))
-            cells = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(-1, CELLS)
+            cells = batch.column(7).to_pylist()
             begins = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             for lo, hi in zip(begins, [*begins[1:], len(sig)], strict=True):
                 key = int(sig[lo]), int(i[lo]), int(j[lo])
@@ -312,8 +337,13 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                cells = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS) for c in ("s_x", "s_y")]
-                good = may_link(*cells, *(batch.column(c).to_numpy() for c in ("n_x", "n_y")), percent)
+                cells = [batch.column(c).to_pylist() for c in ("s_x", "s_y")]
+                sizes = [batch.column(c).to_numpy() for c in ("n_x", "n_y")]
+                lengths = np.array([[len(v) for v in c] for c in cells], np.int64)
+                good = np.zeros(batch.num_rows, bool)
+                for pair in np.unique(lengths, axis=1).T:
+                    at = np.flatnonzero((lengths == pair[:, None]).all(0))
+                    good[at] = may_link(*(sketches([c[i] for i in at.tolist()], int(pair.min())) for c in cells), *(n[at] for n in sizes), percent)
                 yield record(out, batch.column("x").to_numpy()[good], batch.column("y").to_numpy()[good])
 
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "n_x", "n_y", "s_x", "s_y")
