@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -57,6 +58,12 @@ def dropped(*tables: DataFrame | None) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver let go of what nothing refers to any more, so that Spark deletes its shuffle files and broadcasts at once."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def python_batches(spark: SparkSession) -> None:
     """Bounds the rows of an Arrow batch; a session with a smaller bound keeps it."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -18,10 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, record, slices, texts_of
+from .common import map_arrow, record, slices, texts_of, tidy
 from .sampling import per_class
 
 BUCKETS_BITS, DIM, LENGTHS = 15, 16, (1, 2, 3, 4)
@@ -106,8 +107,25 @@ class Model:
         return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score, ~letters | (score < self.reject_below)
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languages: list[str], seed: int = 7, epochs: int = 12, rate: float = 0.5) -> Model:
-    """bags: buckets and their shares, in a fixed order; a fifth of them calibrates."""
+class Bags:
+    """The buckets of each text and their shares, held in three arrays."""
+
+    def __init__(self, buckets: pa.ChunkedArray, shares: pa.ChunkedArray):
+        ends = np.cumsum(pc.binary_length(buckets).to_numpy()) // 2
+        self.first = np.concatenate([[0], ends]).astype(np.int64)
+        whole = lambda column, kind: np.concatenate([np.zeros(0, kind), *[np.frombuffer(data, kind) for chunk in column.chunks for data in [texts_of(chunk)[0]]]])
+        self.buckets, self.shares = whole(buckets, np.uint16), whole(shares, np.float32)
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.first[i], self.first[i + 1])
+        return self.buckets[own].astype(np.int64), self.shares[own].astype(np.float64)
+
+
+def train(bags: Bags, labels: np.ndarray, languages: list[str], seed: int = 7, epochs: int = 12, rate: float = 0.5) -> Model:
+    """bags: in a fixed order; a fifth of them calibrates."""
     size, rng = len(languages), np.random.Generator(np.random.PCG64(seed))
     table = rng.normal(0, 0.1, (1 << BUCKETS_BITS, DIM))
     heads, bias = np.zeros((DIM, size)), np.zeros(size)
@@ -118,7 +136,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
         for lo in range(0, len(fits), 16):
             part = rng.permutation(fits)[:16] if lo == 0 and len(fits) <= 16 else fits[lo : lo + 16]
             grads = []
-            for i in part:
+            for i in part.tolist():
                 buckets, share = bags[i]
                 x = share @ table[buckets]
                 z = x @ heads + bias
@@ -133,7 +151,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, languag
                 table[buckets] -= 20 * step * share[:, None] * (old @ p)
         fits = rng.permutation(fits)
     logits = heads.T @ table.T
-    raw = np.array([logits[:, b] @ s + bias for b, s in (bags[i] for i in tests)])
+    raw = np.array([logits[:, b] @ s + bias for b, s in (bags[i] for i in tests.tolist())])
     truth = labels[tests]
 
     def probabilities(t: float) -> np.ndarray:
@@ -171,10 +189,15 @@ def fit(rows: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 7) -> Mod
 
         return each
 
-    got = map_arrow(sample, make, "doc_id long, lang string, buckets binary, shares binary").collect()
-    got = sorted((r for r in got if len(r["buckets"])), key=lambda r: (r["doc_id"], r["lang"], r["buckets"]))
-    bags = [(np.frombuffer(r["buckets"], np.uint16).astype(np.int64), np.frombuffer(r["shares"], np.float32).astype(np.float64)) for r in got]
-    return train(bags, np.array([languages.index(r["lang"]) for r in got], np.int64), languages, seed) if bags else Model([], np.zeros((0, 1)), np.zeros(0), 1.0)
+    got = map_arrow(sample, make, "doc_id long, lang string, buckets binary, shares binary").where("length(buckets) > 0").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("buckets", "ascending")])
+    if not got.num_rows:
+        return Model([], np.zeros((0, 1)), np.zeros(0), 1.0)
+    number = {lang: i for i, lang in enumerate(languages)}
+    bags, labels = Bags(got.column("buckets"), got.column("shares")), np.array([number[lang] for lang in got.column("lang").to_pylist()], np.int64)
+    del got
+    tidy(rows.sparkSession)
+    return train(bags, labels, languages, seed)
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:

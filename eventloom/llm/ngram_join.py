@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, longs, map_arrow, record, slices, small_side, texts_of, written
+from .common import dropped, longs, map_arrow, record, slices, small_side, texts_of, tidy, written
 from .graph import components
 from .textvec import Words, mix
 
@@ -418,6 +418,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     texts = _texts(docs, classes, degrees.select("a"))
     ranked = written(buckets.join(degrees, "a"), "ranked")
     dropped(buckets, degrees)
+    tidy(docs.sparkSession)
     # rows of one doc_id are one document, so their classes are linked
     repeated = _one_document(sets)
     links = written(full.join(small_side(repeated), "doc_id").where("a <> first").select(F.col("a").alias("x"), F.col("first").alias("y")).distinct(), "links")
@@ -439,6 +440,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         dropped(placed, tops, last)
         links, known = _linked(links, _verified(pairs, texts, n, percent, parts), known)
         dropped(pairs)
+        tidy(docs.sparkSession)
     # classes of one bucket that these links don't connect are compared with each other
     placed = written(ranked.join(known.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", F.coalesce("root", "a").alias("root")), "placed")
     dropped(ranked, tried)
@@ -450,6 +452,7 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     named = written(least.join(least.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("a"), "least"), "named")
     named, old = written(classes.select("a", "rep").join(named, "a", "left").select("a", F.coalesce("least", "rep").alias("component_id")), "class-components"), named
     dropped(least, known, classes, old)
+    tidy(docs.sparkSession)
     own = F.when(F.col("n_shingles") > 0, F.col("a")).otherwise(F.col("first"))  # a row without words has its document's links
     out = sets.where("doc_id IS NOT NULL").join(small_side(repeated), "doc_id", "left").withColumn("a", own).join(named, "a", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
