@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from eventloom.lang import syntax as s
 from eventloom.lang.syntax import CompileError
-from eventloom.plans.typed import ANY, BOOL, INT, NULL, STRING, Kind, Typed, array_of, as_kind, const, first_error, json_text, lossy, map_of, object_kind, object_of, to_any, unify, value
+from eventloom.plans.typed import ANY, BOOL, INT, NULL, STRING, Kind, Typed, array_of, as_kind, bound, const, first_error, json_text, lossy, map_of, object_kind, object_of, to_any, unify, value
 
 from .registry import arrow, fn, from_any, need_const, variant_tag
 
@@ -140,9 +140,10 @@ def tally(ctx, value: Typed):
         return Typed(map_of(INT), F.lit(None).cast("map<string,bigint>"), F.lit("all values must be strings"))
     else:
         err = first_error(err, F.when(F.lit(False), F.lit("")))
-    words = F.array_sort(col)
-    ends = F.filter(F.transform(words, lambda x, i: F.struct(x.alias("k"), F.when(F.get(words, i + 1).eqNullSafe(x), F.lit(None).cast("int")).otherwise(i + 1).alias("e"))), lambda e: e["e"].isNotNull())
-    return Typed(map_of(INT), F.map_from_entries(F.transform(ends, lambda e, i: F.struct(e["k"], (e["e"] - F.coalesce(F.get(ends, i - 1)["e"], F.lit(0))).cast("bigint")))), err)
+    # a word's last place in sorted order, less that of the word before it, is its count
+    last = lambda words: F.filter(F.transform(words, lambda x, i: F.struct(x.alias("k"), F.when(F.get(words, i + 1).eqNullSafe(x), F.lit(None).cast("int")).otherwise(i + 1).alias("e"))), lambda e: e["e"].isNotNull())
+    counts = lambda ends: F.map_from_entries(F.transform(ends, lambda e, i: F.struct(e["k"], (e["e"] - F.coalesce(F.get(ends, i - 1)["e"], F.lit(0))).cast("bigint"))))
+    return Typed(map_of(INT), bound(bound(F.array_sort(col), last), counts), err)
 
 
 @fn("tally_value", "array:arr, value:any")
@@ -479,6 +480,7 @@ def target_of(ctx, node: s.Node):
 def del_(ctx, target: s.Node, compact: s.Node | Typed | None = None):
     tight = isinstance(compact, s.Literal) and compact.value is True
     root, path, store = target_of(ctx, target)
+    ctx.changing(target)
     old = ctx.get(root, path)
     if path:
         store(ctx.remove(root, path, tight))

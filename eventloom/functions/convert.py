@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.lang.syntax import CompileError
 from eventloom.plans.typed import BOOL, FLOAT, INT, NULL, STRING, TIME, Kind, Typed, const, first_error, float_text, time_text, to_text
 
+from .patterns import translated
 from .registry import arrow, fn, need_const, variant_tag
 
 INT_TEXT = r"^[+-]?[0-9]+$"
@@ -116,7 +117,12 @@ def to_string(ctx, value: Typed):
 @fn("to_regex", "value:str")
 def to_regex(ctx, value: Typed):
     if value.is_const:
-        return Typed(Kind("regex"), None, F.when(F.lit(False), F.lit("")), const=value.const)
+        try:
+            translated(value.const)
+            wrong = F.when(F.lit(False), F.lit(""))
+        except CompileError as e:
+            wrong = F.lit(e.message)
+        return Typed(Kind("regex"), None, wrong, const=value.const)
     return Typed(Kind("regex"), value.col, F.when(F.lit(False), F.lit("")))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,13 +18,28 @@ from .registry import arrow, fn, need_const
 OPT = r"(?:-|{})"
 
 
-def laid_out(value: Typed, pattern: str, fields: dict[str, tuple[int, str]], message: str, formats: dict[str, str] | None = None) -> Typed:
+#: What parts the groups of a matched line, as none of its own characters does.
+MARK = "\u0001"
+
+
+def groups_of(ctx, value: Typed, java: str, count: int) -> tuple[Column, list[Column]]:
+    """Whether an anchored pattern matches, and its groups ("" where they are missing), by one match a row.
+
+    The line is replaced by its groups with marks between them and then split. A line that has the mark itself is matched group by group."""
+    spread = MARK + MARK.join(f"${g}" for g in range(1, count + 1)) + MARK
+    once = F.split(F.regexp_replace(value.col, F.lit(java), F.lit(spread)), MARK)
+    slowly = F.when(F.rlike(value.col, F.lit(java)), F.array(F.lit(""), *[F.regexp_extract(value.col, java, g) for g in range(1, count + 1)]))
+    cells = ctx.hoisted(Typed(array_of(STRING), F.when(F.contains(value.col, F.lit(MARK)), slowly).otherwise(once))).col
+    hit = F.coalesce(F.size(cells) > 1, F.lit(False))
+    return hit, [F.get(cells, F.lit(g)) for g in range(count + 1)]
+
+
+def laid_out(ctx, value: Typed, pattern: str, fields: dict[str, tuple[int, str]], message: str, formats: dict[str, str] | None = None) -> Typed:
     """An object of the groups of one anchored pattern; - and a missing group are null. Kinds: str int flt or ts."""
-    p = translated(pattern)
-    hit = F.rlike(value.col, F.lit(p.java))
+    hit, groups = groups_of(ctx, value, translated(pattern).java, re.compile(pattern).groups)
     parts, bad = {}, F.when(~hit & value.col.isNotNull(), F.lit(message))
     for name, (group, kind) in fields.items():
-        raw = F.regexp_extract(value.col, p.java, group)
+        raw = groups[group]
         text = F.when(hit & ~raw.isin("", "-"), raw)
         if kind == "int":
             parts[name] = Typed(INT, text.try_cast("bigint"))
@@ -55,7 +71,7 @@ NGINX_MAIN = r'^\s*(-|\S+)\s+-\s+(-|\S+)\s+\[(-|.+?)\]\s+"(-|.+?)"\s+(-|\d+)\s+(
 
 @fn("parse_common_log", "value:str, timestamp_format?:str")
 def parse_common_log(ctx, value: Typed, timestamp_format: Typed | None):
-    return laid_out(value, COMMON + "$", COMMON_FIELDS, "failed parsing common log line", {"ts": need_const(timestamp_format, "timestamp_format") or CLF_TIME})
+    return laid_out(ctx, value, COMMON + "$", COMMON_FIELDS, "failed parsing common log line", {"ts": need_const(timestamp_format, "timestamp_format") or CLF_TIME})
 
 
 @fn("parse_apache_log", "value:str, format:str, timestamp_format?:str")
@@ -63,11 +79,11 @@ def parse_apache_log(ctx, value: Typed, format: Typed, timestamp_format: Typed |
     name, own = need_const(format, "format"), need_const(timestamp_format, "timestamp_format")
     if name == "error":
         fields = {"timestamp": (1, "ts"), "module": (2, "str"), "severity": (3, "str"), "pid": (4, "int"), "thread": (5, "str"), "client": (6, "str"), "port": (7, "int"), "message": (8, "str")}
-        return laid_out(value, APACHE_ERROR, fields, "failed parsing log line", {"ts": own or "%a %b %d %H:%M:%S%.6f %Y"})
+        return laid_out(ctx, value, APACHE_ERROR, fields, "failed parsing log line", {"ts": own or "%a %b %d %H:%M:%S%.6f %Y"})
     if name not in ("common", "combined"):
         raise CompileError(403, f"invalid enum variant: {name}")
     pattern, fields = (COMMON + "$", COMMON_FIELDS) if name == "common" else (COMBINED, COMBINED_FIELDS)
-    return laid_out(value, pattern, fields, "failed parsing log line", {"ts": own or CLF_TIME})
+    return laid_out(ctx, value, pattern, fields, "failed parsing log line", {"ts": own or CLF_TIME})
 
 
 @fn("parse_nginx_log", "value:str, format:str, timestamp_format?:str")
@@ -81,16 +97,15 @@ def parse_nginx_log(ctx, value: Typed, format: Typed, timestamp_format: Typed |
     if name not in layouts:
         raise CompileError(403, f"invalid enum variant: {name}")
     pattern, fields, ts = layouts[name]
-    return laid_out(value, pattern, fields, "failed parsing log line", {"ts": own or ts})
+    return laid_out(ctx, value, pattern, fields, "failed parsing log line", {"ts": own or ts})
 
 
 LEVEL_NAMES = {"I": "info", "W": "warning", "E": "error", "F": "fatal"}
 
 
-def glog_like(value: Typed, pattern: str, stamp) -> Typed:
-    p = translated(pattern)
-    hit = F.rlike(value.col, F.lit(p.java))
-    g = lambda i: F.when(hit, F.regexp_extract(value.col, p.java, i))
+def glog_like(ctx, value: Typed, pattern: str, stamp) -> Typed:
+    hit, groups = groups_of(ctx, value, translated(pattern).java, 6)
+    g = lambda i: F.when(hit, groups[i])
     level = F.try_element_at(F.create_map(*[F.lit(x) for kv in LEVEL_NAMES.items() for x in kv]), g(1))
     parts = {"level": Typed(STRING, level), "timestamp": Typed(TIME, stamp(g(2))), "id": Typed(INT, g(3).try_cast("bigint")), "file": Typed(STRING, g(4)), "line": Typed(INT, g(5).try_cast("bigint")), "message": Typed(STRING, g(6))}
     bad = fail(~hit, "failed parsing log line")
@@ -99,7 +114,7 @@ def glog_like(value: Typed, pattern: str, stamp) -> Typed:
 
 @fn("parse_glog", "value:str")
 def parse_glog(ctx, value: Typed):
-    return glog_like(value, r"^\s*([IWEF])(\d{4}\d{2}\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+(\d+)\s+(.+?):(\d+)\]\s*(.*?)\s*$", lambda c: parsed_time(F.regexp_replace(c, r"\s+", " "), "%Y%m%d %H:%M:%S%.6f", None))
+    return glog_like(ctx, value, r"^\s*([IWEF])(\d{4}\d{2}\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+(\d+)\s+(.+?):(\d+)\]\s*(.*?)\s*$", lambda c: parsed_time(F.regexp_replace(c, r"\s+", " "), "%Y%m%d %H:%M:%S%.6f", None))
 
 
 @fn("parse_klog", "value:str")
@@ -109,7 +124,7 @@ def parse_klog(ctx, value: Typed):
         year = F.year(F.current_date()) - F.when(c.startswith("12") & (F.month(F.current_date()) == 1), 1).otherwise(0)
         return parsed_time(F.concat(year.cast("string"), F.regexp_replace(c, r"\s+", " ")), "%Y%m%d %H:%M:%S%.6f", None)
 
-    return glog_like(value, r"^\s*([IWEF])(\d{2}\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+(\d+)\s+(.+?):(\d+)\]\s*(.*?)\s*$", stamp)
+    return glog_like(ctx, value, r"^\s*([IWEF])(\d{2}\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)\s+(\d+)\s+(.+?):(\d+)\]\s*(.*?)\s*$", stamp)
 
 
 FACILITY = "kern user mail daemon auth syslog lpr news uucp cron authpriv ftp ntp security console solaris-cron local0 local1 local2 local3 local4 local5 local6 local7".split()

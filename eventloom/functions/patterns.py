@@ -56,8 +56,8 @@ def translated(pattern: str) -> Pattern:
         out.append(c)
         i += 1
     try:
-        re.compile(re.sub(r"\\z", r"\\Z", re.sub(r"\(\?<(?![=!])", "(?P<", pattern)).replace("\\p{", "[").replace("(?-", "(?:") if False else ".")
-    except re.error as e:
+        python(pattern)
+    except Exception as e:
         raise CompileError(101, f"invalid regular expression: {e}") from None
     return Pattern("(?U)" + "".join(out), names, n)
 

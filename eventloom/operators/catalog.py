@@ -31,6 +31,12 @@ PROGRAMS: list[tuple[str, str, str, str, str | None]] = [
     ("lang_return", "events", 'if .value > 100.0 { return "big" }\n.small = true', "event_id small _status", "SELECT event_id, CASE WHEN value > 100 THEN NULL ELSE true END AS small, CASE WHEN value > 100 THEN 'returned' ELSE 'ok' END AS _status FROM events"),
     ("lang_fail", "events", '.n = to_int!(replace(.event_type, "error", "5"))', "event_id n _status", "SELECT event_id, CASE WHEN event_type = 'error' THEN 5 END AS n, CASE WHEN event_type = 'error' THEN 'ok' ELSE 'error' END AS _status FROM events"),
     ("lang_metadata", "events", "%seen = .user_id + 1\n.m = %seen", "event_id m", "SELECT event_id, user_id + 1 AS m FROM events"),
+    ("lang_numbers", "region", ".a = 1_000_000\n.b = 2_0.5 + .r_regionkey\n.c = 1e3", "r_regionkey a b c", "SELECT r_regionkey, 1000000 AS a, 20.5::DOUBLE + r_regionkey AS b, 1000.0::DOUBLE AS c FROM region"),
+    ("lang_merge_assign", "customer", 'o = {"a": 1, "b": {"x": 1}}\no |= {"a": .c_custkey, "b": {"y": 2}}\n.a = o.a\n.n = length(o.b)\n.o = {"k": 1}\n.o |= {"l": .c_nationkey}\n.l = .o.l\n.k = .o.k', "c_custkey a n l k", "SELECT c_custkey, c_custkey AS a, 1 AS n, c_nationkey AS l, 1 AS k FROM customer"),
+    ("lang_noop_target", "events", '_, .err = to_int(.event_type)\n.n, _ = to_int(to_string(.user_id))', "event_id err n", "SELECT event_id, 'Invalid integer \"' || event_type || '\": invalid digit found in string' AS err, user_id AS n FROM events"),
+    ("conv_regex", "documents", '.a = match(.text, to_regex!("[0-9]{3}"))\n_, .err = to_regex("(")\n.err = .err != null', "doc_id a err", "SELECT doc_id, regexp_matches(text, '[0-9]{3}') AS a, true AS err FROM documents"),
+    ("grok_matchers", "pages", 'g = parse_groks!("u.x-1 " + .url + " \\"q s\\" /a/b.c 10.0.0.1:80 end of line", ["%{user:u} %{uri:url} %{qs:q} %{path:p} %{hostPort:hp}%{space}%{greedyData:rest}"])\n.u = string!(g.u)\n.url2 = string!(g.url)\n.q = string!(g.q)\n.p = string!(g.p)\n.hp = string!(g.hp)\n.rest = string!(g.rest)', "page_id u url2 q p hp rest", "SELECT page_id, 'u.x-1' AS u, url AS url2, '\"q s\"' AS q, '/a/b.c' AS p, '10.0.0.1:80' AS hp, 'end of line' AS rest FROM pages"),
+    ("grok_filters", "events", 'g = parse_groks!("5. 1.5e2 7 ABC def 2020-03-01 [1,2," + to_string(.user_id) + "] TRUE k=" + .event_type, ["%{number:a} %{numberExt:b} %{integer:c:scale(10)} %{word:d:lowercase} %{word:e:uppercase} %{date(\\"yyyy-MM-dd\\"):f} %{data:g:array(\\"[]\\", \\",\\", integer)} %{boolean:h} %{data::keyvalue}"])\n.a = to_float!(g.a)\n.b = to_float!(g.b)\n.c = to_int!(g.c)\n.d = string!(g.d)\n.e = string!(g.e)\n.f = int!(g.f)\n.g = int!(g.g[2])\n.h = bool!(g.h)\n.k = string!(g.k)', "event_id a b c d e f g h k", "SELECT event_id, 5.0::DOUBLE AS a, 150.0::DOUBLE AS b, 70 AS c, 'abc' AS d, 'DEF' AS e, 1583020800000 AS f, user_id AS g, true AS h, event_type AS k FROM events"),
     # strings
     ("str_case", "part", ".a = upcase(.p_name)\n.b = downcase(.p_brand)", "p_partkey a b", "SELECT p_partkey, upper(p_name) AS a, lower(p_brand) AS b FROM part"),
     ("str_contains", "documents", '.a = contains(.text, "the")\n.b = contains(.text, "THE", case_sensitive: false)\n.c = contains_all(.text, ["the", "and"])', "doc_id a b c", "SELECT doc_id, contains(text, 'the') AS a, contains(lower(text), 'the') AS b, contains(text, 'the') AND contains(text, 'and') AS c FROM documents"),
@@ -99,7 +105,8 @@ PROGRAMS: list[tuple[str, str, str, str, str | None]] = [
     ("codec_lines", "events", '.a = encode_key_value!({"u": .user_id, "t": .event_type})\n.b = encode_logfmt!({"f": true, "t": .event_type + " x"})\n.c = encode_csv!([.event_type, "a,b"])', "event_id a b c", "SELECT event_id, 't=' || event_type || ' u=' || user_id AS a, 'f t=\"' || event_type || ' x\"' AS b, event_type || ',\"a,b\"' AS c FROM events"),
     # digests, ciphers
     ("hash_digests", "documents", '.a = md5(.text)\n.b = sha1(.text)\n.c = sha2(.text, variant: "SHA-256")', "doc_id a b c", "SELECT doc_id, md5(text) AS a, sha1(text) AS b, sha256(text) AS c FROM documents"),
-    ("hash_fixed", "region", '.a = sha2("foo")\n.b = sha3("foo", variant: "SHA3-224")\n.c = xxhash("foo")\n.d = seahash("foobar")\n.e = crc!("foobar")\n.f = encode_base16(hmac("a", "b"))', "r_regionkey c d e", "SELECT r_regionkey, 3792637401 AS c, 5348458858952426560 AS d, '2666930069' AS e FROM region"),
+    ("hash_fixed", "region", '.a = sha2("foo")\n.b = sha3("foo", variant: "SHA3-224")\n.c = xxhash("foo")\n.d = seahash("foobar")\n.e = crc!("foobar")\n.f = encode_base16(hmac("The quick brown fox jumps over the lazy dog", "key"))', "r_regionkey a b c d e f", "SELECT r_regionkey, 'd58042e6aa5a335e03ad576c6a9e43b41591bfd2077f72dec9df7930e492055d' AS a, 'f4f6779e153c391bbd29c95e72b0708e39d9166c7cea51d1f10ef58a' AS b, 3792637401 AS c, 5348458858952426560 AS d, '2666930069' AS e, 'f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8' AS f FROM region"),
+    ("hash_text", "documents", '.a = sha2(.text, variant: "SHA-256")\n.b = hmac(.text, "k") == hmac(.text, "k", algorithm: "SHA-256")\n.c = strlen(encode_base16(hmac(.text, "k", algorithm: "SHA-512")))\n.d = sha3(.text, variant: "SHA3-256") != sha3(.text)', "doc_id a b c d", "SELECT doc_id, sha256(text) AS a, true AS b, 128 AS c, true AS d FROM documents"),
     ("cipher_round_trip", "customer", 'k = "01234567890123456789012345678912"\n.a = decrypt!(encrypt!(.c_name, "AES-256-CFB", k, "0123456789012345"), "AES-256-CFB", k, "0123456789012345")\n.b = decrypt!(encrypt!(.c_name, "CHACHA20-POLY1305", k, "012345678901"), "CHACHA20-POLY1305", k, "012345678901")\n.c = decrypt!(encrypt!(.c_name, "AES-256-CBC-PKCS7", k, "0123456789012345"), "AES-256-CBC-PKCS7", k, "0123456789012345")', "c_custkey a b c", "SELECT c_custkey, c_name AS a, c_name AS b, c_name AS c FROM customer"),
     ("random_values", "nation", '.a = is_boolean(random_bool())\nx = random_float!(1.0, 2.0)\n.b = x >= 1.0 && x < 2.0\ny = random_int!(5, 7)\n.c = y >= 5 && y < 7\n.d = length(random_bytes!(16))\n.e = match(uuid_v4(), r\'^[0-9a-f-]{36}$\')\n.f = match(uuid_v7(), r\'^[0-9a-f]{8}-[0-9a-f]{4}-7[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}$\')', "n_nationkey a b c d e f", "SELECT n_nationkey, true AS a, true AS b, true AS c, 16 AS d, true AS e, true AS f FROM nation"),
     ("uuid_friendly", "region", '.a = uuid_from_friendly_id!("3s87yEvnmkiPBMHsj8bwwc")', "r_regionkey a", "SELECT r_regionkey, '7f41deed-d5e2-8b5e-7a13-ab4ff93cfad2' AS a FROM region"),

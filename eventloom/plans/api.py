@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.lang.syntax import CompileError, parse
+from eventloom.lang.unused import Warning, check
 
 from .lowering import Lowering
 from .typed import Kind, Typed, as_kind, json_text, kind_of
@@ -21,24 +23,30 @@ def _functions() -> None:
     load()
 
 
-def compiled(df: DataFrame, program: str) -> tuple[Lowering, Typed]:
+def warnings(program: str) -> list[Warning]:
+    """What of a program is of no use: results and variables that nothing takes."""
+    return check(parse(program))
+
+
+def compiled(df: DataFrame, program: str, read_only: Sequence[str] = ()) -> tuple[Lowering, Typed]:
     _functions()
     df.sparkSession.conf.set(KEEP_MERGED_KEYS, "LAST_WIN")
-    low = Lowering(df)
+    low = Lowering(df, read_only)
     result = low.run(parse(program))
     return low, result
 
 
-def remap(df: DataFrame, program: str, on_failure: str = "keep", status: bool | None = None) -> DataFrame:
+def remap(df: DataFrame, program: str, on_failure: str = "keep", status: bool | None = None, read_only: Sequence[str] = ()) -> DataFrame:
     """df with program applied to each row as an event of its columns.
 
     A row whose program aborts or fails keeps its input values where their kind is unchanged and null elsewhere
     (on_failure="keep"), or goes ("drop"). Columns _status (ok, returned, aborted, error) and _message are added if the
-    program can end early, or as status says. An array of objects as the event makes one row of each element.
+    program can end early, or as status says. read_only: paths (".a.b", "%m", ".c.*" with all below it) that a program which changes them doesn't
+    compile with. An array of objects as the event makes one row of each element.
     """
     if on_failure not in ("keep", "drop"):
         raise ValueError("on_failure is keep or drop")
-    low, _ = compiled(df, program)
+    low, _ = compiled(df, program, read_only)
     env = low.env
     ends = env.status is not None
     failed = env.status.isin("aborted", "error") if ends else F.lit(False)
@@ -104,4 +112,4 @@ def unnest(df: DataFrame, column: str) -> DataFrame:
     return df.select(*[F.explode(F.col(f"`{c}`")).alias(c) if c == column else F.col(f"`{c}`") for c in df.columns])
 
 
-__all__ = ["CompileError", "Kind", "compiled", "evaluate", "remap", "result_of", "search", "unnest"]
+__all__ = ["CompileError", "Kind", "compiled", "evaluate", "remap", "result_of", "search", "unnest", "warnings"]

@@ -6,6 +6,7 @@ error column beside its value; the program must handle it by `!`, `??` or `value
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -37,9 +38,22 @@ def when_ok(cond: Column, a: Column, b: Column) -> Column:
     return F.when(cond, a).otherwise(b)
 
 
+def locked(text: str) -> tuple[str, list[str | int], bool]:
+    """A read-only path, ".a.b", "%a" or "." : its root, its steps, and whether what lies below it is read-only too (a path that ends in .* )."""
+    deep = text.endswith(".*")
+    text = text[:-2] if deep else text
+    if text in ("", ".", "%"):
+        return text or ".", [], deep
+    [node] = s.parse(text).body
+    if not isinstance(node, s.Query) or node.root not in (".", "%"):
+        raise ValueError(f"not a path of the event or its metadata: {text}")
+    return node.root, node.path, deep
+
+
 class Lowering:
-    def __init__(self, df: DataFrame):
+    def __init__(self, df: DataFrame, read_only: Sequence[str] = ()):
         self.df = df
+        self.read_only = [locked(p) for p in read_only]
         self.n = 0
         self.known: dict[int, Column] = {}
         self.env = Env(Typed(NULL, parts={f.name: self.input(kind_of(f.dataType), f"`{f.name}`", f.dataType) for f in df.schema.fields}), Typed(NULL, parts={}))
@@ -162,7 +176,7 @@ class Lowering:
 
     def on_variable(self, node: s.Variable) -> Typed:
         if node.name not in self.env.names:
-            raise CompileError(701, f"call to undefined variable {node.name}", node.at)
+            raise CompileError(701, f"call to undefined variable {node.name}{s.nearest(node.name, self.env.names)}", node.at)
         return self.env.names[node.name]
 
     def on_query(self, node: s.Query) -> Typed:
@@ -392,6 +406,12 @@ class Lowering:
             v = self.expr(node.value)
             if v.err is None:
                 raise CompileError(104, "unnecessary error assignment", node.at)
+            if v.kind.tag == "regex":  # known when compiled, or never
+                ok, err = v.with_err(None), Typed(STRING, v.err)
+                for target, new in zip(node.targets, (ok, err), strict=True):
+                    if target is not None:
+                        self.put(target, new)
+                return ok
             good = v.err.isNull()
             ok_kind = v.kind
             ok = Typed(ok_kind, F.when(good, as_kind(v, ok_kind).column()).otherwise(default_of(ok_kind))) if ok_kind != NULL else const(None)
@@ -410,7 +430,17 @@ class Lowering:
             self.put(target, v)
         return v
 
+    def changing(self, target: s.Node) -> None:
+        """An error if target, a part of it or what it is a part of may only be read."""
+        if not isinstance(target, s.Query):
+            return
+        for root, path, deep in self.read_only:
+            n = len(target.path)
+            if root == target.root and (path[:n] == target.path or deep and target.path[: len(path)] == path):
+                raise CompileError(315, "mutation of read-only value", target.at)
+
     def put(self, target: s.Node, v: Typed) -> None:
+        self.changing(target)
         env = self.env
         returned = env.status is not None and self.may_return
         if isinstance(target, s.Variable):
@@ -515,7 +545,7 @@ class Lowering:
     def on_call(self, node: s.Call) -> Typed:
         f = FUNCTIONS.get(node.name)
         if f is None:
-            raise CompileError(105, f"call to undefined function {node.name}", node.at)
+            raise CompileError(105, f"call to undefined function {node.name}{s.nearest(node.name, FUNCTIONS)}", node.at)
         if f.closure and node.closure is None:
             raise CompileError(111, f"{node.name} needs a closure", node.at)
         given: dict[str, s.Node] = {}
@@ -527,7 +557,7 @@ class Lowering:
                     raise CompileError(106, f"wrong number of arguments for {node.name}", node.at)
                 name = free[0] if i < len(names) else free[0]
             elif name not in names:
-                raise CompileError(108, f"unknown function argument {name}", node.at)
+                raise CompileError(108, f"unknown function argument {name}{s.nearest(name, names)}", node.at)
             given[name] = arg
         args: dict[str, object] = {}
         for p in f.params:

@@ -111,6 +111,11 @@ def value(kind: Kind, col: Column, *sources: Typed, nullable: bool = True, err:
     return Typed(kind, col, first_error(*[s.err for s in sources], err), nullable=nullable)
 
 
+def bound(c: Column, use) -> Column:
+    """use(c) with c made once, however often use takes it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def first_error(*errors: Column | None) -> Column | None:
     some = [e for e in errors if e is not None]
     return None if not some else some[0] if len(some) == 1 else F.coalesce(*some)

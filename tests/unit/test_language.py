@@ -1,10 +1,12 @@
 """Programs on single events: what they give, and what doesn't compile."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from eventloom.lang.syntax import CompileError, parse
-from eventloom.plans.api import evaluate, remap, search
+from eventloom.plans.api import evaluate, remap, search, warnings
 
 GOOD = [
     (".a + 1", {"a": 1}, 2), (".a = .b.c", {"b": {"c": 5}}, 5), ("to_string(1.0)", {}, "1"),
@@ -61,3 +63,54 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = search(spark.read.parquet(f"{tmp_path}/t"), "@v:>50").select("id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(v), GreaterThan(v,50.0)]" in plan or "GreaterThan(v" in plan
     assert "w:string" not in plan
+
+
+@pytest.mark.parametrize("program", [".a = 1", ".a.b = 1", "del(.a)", ". = {}", "del(.a.b)", "%m = 1", ".c.x.y = 1", "del(.c)", "x, .a = to_int(\"1\")", ".a |= {}"])
+def test_read_only_paths(spark, program):
+    df = spark.createDataFrame([("x",)], "z string").withColumns({"a": F.struct(F.lit(1).alias("b")), "c": F.struct(F.lit(1).alias("x"))})
+    with pytest.raises(CompileError) as e:
+        remap(df, program, read_only=[".a.b", "%m", ".c.*"])
+    assert e.value.code == 315
+
+
+def test_paths_beside_read_only_ones(spark):
+    df = spark.createDataFrame([("x", 1)], "z string, n long").withColumn("a", F.struct(F.lit(1).alias("b")))
+    got = remap(df, ".a.c = .a.b\n.n = 2\nx = .a.b", read_only=[".a.b", ".z"]).first()
+    assert got["a"]["c"] == 1 and got["n"] == 2
+    with pytest.raises(ValueError):
+        remap(df, ".n = 2", read_only=["n + 1"])
+
+
+@pytest.mark.parametrize("program, hint", [("upcsae(.a)", "upcase"), ("x_total = 1\nx_totl", "x_total"), ("upcase(vaule: .a)", "value")])
+def test_suggestions(spark, program, hint):
+    with pytest.raises(CompileError, match=f'did you mean "{hint}"'):
+        evaluate(spark, program, {"a": "1"})
+
+
+@pytest.mark.parametrize("program, want", [
+    (".a = 1\n.b", []), ("5\n.a = 1", ["unused literal"]), ("upcase(\"a\")\n.a = 1\n.", ["unused result of function call"]), ("x = 1\n.a = 2\n.", ["unused variable x"]),
+    ("_x = 1\n.a = 2\n.", []), ("x = 1\n.a = x\n.", []), ("if .a { 1 + 2 }\n.b = 1\n.", ["unused expression"]), ("del(.a)\nassert!(true)\n.", []), ("x = {}\nx.y = 1\n.a = x.y\n.", []),
+    ("for_each([1]) -> |i, v| { .n = v }\n.", []), ("{ .x\n .y = 1 }\n.", ["unused query"]), ("x = 1\nx |= {}\n.", []),
+])
+def test_warnings(program, want):
+    assert [w.message for w in warnings(program)] == want
+
+
+def test_tally_of_many_words(spark):
+    """The sorted array is made once, so that thousands of words take no more than a moment."""
+    words = [f"w{i % 1700}" for i in range(5000)]
+    df = spark.createDataFrame([(" ".join(words),)], "t string")
+    began = time.time()
+    got = remap(df, 'w = split(.t, " ")\nn = tally!(w)\n.n = n.w3\n.m = tally_value(w, "w1699")\n.k = length(n)').first()
+    assert (got["n"], got["m"], got["k"]) == (3, 2, 1700) and time.time() - began < 20
+
+
+def test_log_lines_match_once(spark):
+    """A line with the mark itself, a line that doesn't match, and one that ends in a line end are as any other."""
+    line = '10.0.0.1 - bob [10/Oct/2020:13:55:36 +0000] "GET /a{} HTTP/1.0" 200 23'
+    df = spark.createDataFrame([(1, line.format("")), (2, line.format("\x01x")), (3, "none"), (4, line.format("") + "\n"), (5, "a\x01b"), (6, None)], "i long, l string")
+    got = {r["i"]: r for r in remap(df, "o, .err = parse_common_log(.l)\n.p = o.path\n.s = o.status\n.u = o.identity").collect()}
+    assert [(got[i]["p"], got[i]["s"], got[i]["u"]) for i in (1, 2, 4)] == [("/a", 200, None), ("/a\x01x", 200, None), ("/a", 200, None)]
+    assert got[3]["err"] == got[5]["err"] == "failed parsing common log line"
+    plan = remap(df, "o = parse_common_log!(.l)\n.p = o.path\n.s = o.status")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(l") == 1
