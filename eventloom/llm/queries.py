@@ -73,7 +73,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", (part != 0).alias("train"))
     found = lm_scoring.score(docs)
     held_out = F.coalesce(part == 0, F.lit(False)).alias("held_out")
-    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

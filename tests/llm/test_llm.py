@@ -492,21 +492,140 @@ def test_lm_scores(docs, none):
 
 
 def test_lm_is_a_distribution():
-    """Each decision's two probabilities add to one, so that those of all continuations of a prefix do."""
-    words = [b"ab", b"ac", b"a"]
-    model = lm_scoring.Model([np.zeros(1 << b, np.float16) + k * 0.1 for k, b in enumerate(lm_scoring.BITS)], np.zeros(1 << lm_scoring.BITS[0], np.uint8), np.full((lm_scoring.GATES, len(lm_scoring.BITS)), 0.3), lm_scoring.even_refinement())
-    d = lm_scoring.Decisions(pa.array(words, pa.binary()), np.zeros(3, np.int64))
-    assert np.bincount(d.row).tolist() == [3, 3, 2] and len(d.bit) == 8 * 6
-    one = [b"\n", *[bytes([b]) for b in range(256) if b != 10]]
-    first = lm_scoring.Decisions(pa.array(one, pa.binary()), np.zeros(256, np.int64))
-    _, gate, z = model.mix(first)
-    at = (z + 8) * 2
-    lo = np.minimum(at.astype(np.int64), lm_scoring.STEPS - 2)
-    p = (1 / (1 + np.exp(-z)) + model.refined[gate, lo] * (1 - at + lo) + model.refined[gate, lo + 1] * (at - lo)) / 2
-    each = np.log(np.where(first.bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
-    begins = np.concatenate([[True], first.row[1:] != first.row[:-1]])
-    logs = each[first.of[begins]]
-    assert np.exp(logs).sum() == pytest.approx(1)
+    """Each decision's two probabilities add to one, so that those of all bytes after a beginning do."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    model = lm_scoring.Model([rng.normal(0, 2, 1 << b).astype(np.float32) for b in lm_scoring.BITS], rng.normal(0.3, 0.3, (lm_scoring.GATES, lm_scoring.TREES + len(lm_scoring.BITS))), np.sort(rng.random((lm_scoring.GATES, lm_scoring.STEPS)), 1))
+    for beginning in (b"", b"ab", b"\xc3"):
+        words = [beginning + bytes([b]) for b in range(256) if bytes([b]) not in (b" ", b"\n")] + [beginning or lm_scoring.END]
+        n = np.ones(len(words), np.int64)
+        row = {"words": b"".join(words), "sizes": np.array([len(w) for w in words], np.int32).tobytes(), "cues": (n * 3).astype(np.uint8).tobytes(), **{k: n.tobytes() for k in ("n_train", "n_all", "c")}}
+        chunk = lm_scoring.Chunk(row)
+        _, gate, z = model.mix(chunk.decisions, chunk.tree(out=False))
+        p = model.probabilities(gate, z).astype(np.float64)
+        assert ((0 < p) & (p < 1)).all()
+        each = np.log10(np.where(chunk.decisions.bit == 1, p, 1 - p)).reshape(-1, 8).sum(1)
+        ends = np.cumsum(np.bincount(chunk.decisions.row)) - 1  # closing spaces; the byte before each is the one that differs
+        spot = np.where(np.array(words) == lm_scoring.END, ends, ends - 1)
+        spot[-1] = ends[-1]
+        logs = each[chunk.decisions.of[spot]]
+        assert (10.0**logs).sum() <= 1 + 1e-4 and (beginning or (10.0**logs).sum() == pytest.approx(1 - 10.0 ** _byte_log(model, b" ", row), abs=1e-3))
+
+
+def _byte_log(model, byte, row):
+    """log10 probability of a closing space where the first byte of a word stands, by the same contexts."""
+    words = [bytes([b]) for b in range(256) if bytes([b]) not in (b" ", b"\n")] + [lm_scoring.END]
+    chunk = lm_scoring.Chunk(row)
+    d = chunk.decisions
+    _, gate, z = model.mix(d, chunk.tree(out=False))
+    p = model.probabilities(gate, z).astype(np.float64)
+    first = d.of[np.concatenate([[0], np.cumsum(np.bincount(d.row))[:-1]])]
+    # the decisions of a space share their beginnings with those of bytes 0x20 to 0x2F; the last three differ from "!" in one bit
+    bang = first[words.index(b"!")]
+    node = p[bang * 8 : bang * 8 + 8]
+    bits = [int(x) for x in f"{ord('!'):08b}"]
+    logs = [np.log10(q if b else 1 - q) for q, b in zip(node[:7], bits[:7], strict=True)]
+    return sum(logs) + np.log10(1 - node[7])
+
+
+def brute_decisions(word, context):
+    """(bit, contexts of the five predictors, place) of each decision of a word, by definition."""
+    spelled = word if word == b"\n" or len(word) >= lm_scoring.LONG else word + b" "
+    script = context % lm_scoring.CUES
+    for i, byte in enumerate(spelled[: lm_scoring.LONG]):
+        so_far = spelled[:i]
+        for k in range(8):
+            node = byte >> (8 - k), k
+            yield byte >> (7 - k) & 1, [(0, context, so_far, node), (1, script, so_far, node), (2, so_far, node), (3, script, so_far[-3:], node), (4, script, so_far[-2:], node)], i
+
+
+def brute_tokens(t):
+    """Tokens of a text with the context before each, and the repeat decision as (run, made, true) or None, token by token."""
+    data = low(t).encode()
+    words, at = [], 0
+    for w in data.split():
+        at = data.index(w, at)
+        words.append((w, at))
+        at += len(w)
+    words.append((b"\n", len(data)))
+    out, followed, run, made, before = [], {}, 0, 0, []
+    for w, at in words:
+        leads = [i for i in range(at) if data[i] >= 0xC0]
+        cue = 1 + (data[leads[-1]] * 256 + data[leads[-1] + 1]) * 40503 % 65521 % (lm_scoring.CUES - 1) if leads else 0
+        if before and len(before[-1]) <= lm_scoring.SHORT:
+            h = textvec.Words(*texts_of(pa.array([before[-1].decode()]))).hashes()[0]
+            cue += lm_scoring.CUES * (1 + int(h >> np.uint64(40)) % (lm_scoring.CLASSES - 1))
+        decision, key = None, tuple(before[-2:])
+        if len(key) == 2:
+            if key in followed:
+                true = followed[key] == w
+                decision = min(run, lm_scoring.ROWS - 1), min(int(np.log2(made + 1)), lm_scoring.MADE - 1), true
+                run, made = (run + 1 if true else 0), made + 1
+            followed[key] = w
+        before.append(w)
+        out.append((w, cue, decision))
+    return out
+
+
+def test_lm_score_by_definition(spark, monkeypatch):
+    """The score is that of plain loops over tokens, bytes and bits, with the weights and the refinement that were learned."""
+    monkeypatch.setattr(lm_scoring, "CHUNK", 9)
+    kept = {}
+    fit = lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda vocab: kept.setdefault("fit", fit(vocab)))
+    rng = random.Random(31)
+    words = ["the", "of", "Cat", "caté", "dog", "über", "x", "a" * 40, "\u0416\u0436", "123"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(24)] + ["the cat sat " * 9, None, "", "zz " + "q" * 1500, "\tof\nof  of of of of"]
+    train = [i % 4 != 0 for i in range(len(texts))]
+    frame = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, train boolean").repartition(3)
+    for head in (lm_scoring.HEAD, 0, 5):
+        kept.clear()
+        got = {r["doc_id"]: r for r in lm_scoring.score(frame, head=head).collect()}
+        model = kept["fit"][0]
+        counts, cells = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0])
+        for t, x in zip(texts, train, strict=True):
+            for w, cue, decision in brute_tokens(t) if x else []:
+                for bit, contexts, _ in brute_decisions(w, cue):
+                    for c in contexts:
+                        counts[c][bit] += 1
+                if decision:
+                    cells[decision[:2]][decision[2]] += 1
+
+        def spelling(w, cue):
+            total = max(0, len(w) - lm_scoring.LONG + 1) * log10(1 / 257)
+            for bit, contexts, place in brute_decisions(w, cue):
+                logits = [min(8, max(-8, np.log((counts[c][1] + 0.05) / (counts[c][0] + 0.05)))) for c in contexts]
+                known = min(7, int(np.log2(sum(counts[contexts[0]]) + 1)))
+                gate = known * 4 + min(place, 3)
+                z = min(8, max(-8, sum(a * b for a, b in zip(model.weights[gate], logits, strict=True))))
+                at = (z + 8) * (lm_scoring.STEPS - 1) / 16
+                lo = min(int(at), lm_scoring.STEPS - 2)
+                refined = model.refined[gate, lo] * (1 - at + lo) + model.refined[gate, lo + 1] * (at - lo)
+                p = (1 / (1 + np.exp(-z)) + refined) / 2
+                total += log10(p if bit else 1 - p)
+            return total
+
+        for i, t in enumerate(texts):
+            want = 0.0
+            for w, cue, decision in brute_tokens(t):
+                if decision:
+                    miss, hit = cells[decision[:2]]
+                    q = (hit + 0.4) / (hit + miss + 0.8)
+                    want += log10(q if decision[2] else 1 - q)
+                if not (decision and decision[2]):
+                    want += spelling(w, cue)
+            assert got[i]["score"] == pytest.approx(want, rel=2e-4, abs=1e-3), i
+            assert got[i]["bits_per_byte"] == pytest.approx(-got[i]["score"] / log10(2) / (len((t or "").encode()) + 1))
+
+
+def test_lm_order_counts(spark):
+    """The same words in another order, or said again, score otherwise."""
+    rng = random.Random(2)
+    line = text(rng, 30)
+    shuffled = line.split()
+    rng.shuffle(shuffled)
+    data = [(i, "the " + text(rng, 60), True) for i in range(30)] + [(100, line, False), (101, " ".join(shuffled), False), (102, line + " " + line, False)]
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string, train boolean")).collect()}
+    assert got[102] > 1.7 * got[100]
 
 
 def test_lm_counts_every_pair(spark, monkeypatch):
@@ -516,18 +635,18 @@ def test_lm_counts_every_pair(spark, monkeypatch):
     stems = ["a", "ab", "ab!", "ab\x01", "abc", "éa", "ü", "b"]
     texts = [("é " if i % 3 else "") + " ".join(rng.choice(stems) + rng.choice(["", "x", "xy", str(rng.randrange(60))]) for _ in range(20)) for i in range(40)]
     docs = spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(3)
-    vocab = lm_scoring.vocabulary(docs)
-    want = [Counter(), Counter()]
+    vocab, _ = lm_scoring.vocabulary(docs)
+    want = [Counter(), Counter(), Counter()]
     for r in vocab.where("n_train > 0").collect():
         word, n = bytes(r["word"]), r["n_train"]
         spelled = word if word == lm_scoring.END else word + b" "
         for i, byte in enumerate(spelled):
             for bit in range(8):
-                for k, cue in enumerate((r["cue"], None)):
+                for k, cue in enumerate((r["cue"], r["cue"] % lm_scoring.CUES, None)):
                     want[k][cue, spelled[:i], byte >> (8 - bit), byte >> (7 - bit) & 1, bit] += n
     assert sum(n < 4 for n in want[0].values()) > 100
     chunks = lm_scoring.counted(lm_scoring.chunked(vocab))[1]
-    found, pairs = [{}, {}], 0
+    found, pairs = [{}, {}, {}], 0
     for row in chunks.collect():
         chunk = lm_scoring.Chunk(row.asDict())
         pairs += len(chunk.words)
@@ -538,13 +657,13 @@ def test_lm_counts_every_pair(spark, monkeypatch):
             i = at[row]
             at[row] += 1
             for bit in range(8):
-                for k, cue in enumerate((int(chunk.cues[row]), None)):
+                for k, cue in enumerate((int(chunk.cues[row]), int(chunk.cues[row]) % lm_scoring.CUES, None)):
                     _, kind, counts = chunk.trees[k]
                     for b in (0, 1):
                         key = cue, spelled[:i], spelled[i] >> (8 - bit), b, bit
                         assert found[k].setdefault(key, counts[kind[one * 8 + bit], b]) == counts[kind[one * 8 + bit], b]
     assert pairs == vocab.count() and chunks.count() > 10
-    for k in (0, 1):
+    for k in (0, 1, 2):
         assert {key: n for key, n in found[k].items() if n} == dict(want[k])
 
 
@@ -554,7 +673,7 @@ def test_lm_rare_words_are_learned(spark):
     name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
     twice, never = [name() for _ in range(2000)], [name() for _ in range(500)]
     data = [(i, " ".join(twice[i % 100 * 20 : i % 100 * 20 + 20]), True) for i in range(200)] + [(200, " ".join(never), False)]
-    model, chunks = lm_scoring.fit(lm_scoring.vocabulary(spark.createDataFrame(data, "doc_id long, text string, train boolean")))
+    model, chunks = lm_scoring.fit(lm_scoring.vocabulary(spark.createDataFrame(data, "doc_id long, text string, train boolean"))[0])
     logp = {bytes(r["word"]).decode(): r["logp"] for r in lm_scoring.scored_vocabulary(chunks, model).collect()}
     assert np.mean([logp[w] for w in twice]) > np.mean([logp[w] for w in never]) + 1
 
