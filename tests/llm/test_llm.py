@@ -647,8 +647,8 @@ def test_lm_counts_every_pair(spark, monkeypatch):
     assert sum(n < 4 for n in want[0].values()) > 100
     chunks = lm_scoring.counted(lm_scoring.chunked(vocab))[1]
     found, pairs = [{}, {}, {}], 0
-    for row in chunks.collect():
-        chunk = lm_scoring.Chunk(row.asDict())
+    for row in lm_scoring.chunks_of(chunks.toArrow().to_batches()):
+        chunk = lm_scoring.Chunk(row)
         pairs += len(chunk.words)
         d, words = chunk.decisions, chunk.words.to_pylist()
         at = Counter()
@@ -661,7 +661,7 @@ def test_lm_counts_every_pair(spark, monkeypatch):
                     _, kind, counts = chunk.trees[k]
                     for b in (0, 1):
                         key = cue, spelled[:i], spelled[i] >> (8 - bit), b, bit
-                        assert found[k].setdefault(key, counts[kind[one * 8 + bit], b]) == counts[kind[one * 8 + bit], b]
+                        assert found[k].setdefault(key, counts[b, kind[one * 8 + bit]]) == counts[b, kind[one * 8 + bit]]
     assert pairs == vocab.count() and chunks.count() > 10
     for k in (0, 1, 2):
         assert {key: n for key, n in found[k].items() if n} == dict(want[k])
