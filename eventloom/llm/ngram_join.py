@@ -46,7 +46,7 @@ PIVOTS = 3
 #: Cells of a sketch at least, and shingles for each cell of a larger one.
 CELLS, PER_CELL = 256, 8
 #: Partners of a pivot, and members of a block of a bucket, that one task compares.
-PARTNERS, MEMBERS = 4096, 2048
+PARTNERS, MEMBERS = 256, 2048
 #: Documents of the sample that tells common shingles, those of them a common one is in, and common shingles, at most.
 SAMPLE, COMMON, MOST_COMMON = 4000, 4, 1 << 17
 #: Fingerprints that a task remembers, so that copies in it give signatures once.
