@@ -528,14 +528,14 @@ def _byte_log(model, byte, row):
 
 
 def brute_decisions(word, context):
-    """(bit, contexts of the five predictors, place) of each decision of a word, by definition."""
+    """(bit, contexts of the four predictors, place) of each decision of a word, by definition."""
     spelled = word if word == b"\n" or len(word) >= lm_scoring.LONG else word + b" "
     script = context % lm_scoring.CUES
     for i, byte in enumerate(spelled[: lm_scoring.LONG]):
         so_far = spelled[:i]
         for k in range(8):
             node = byte >> (8 - k), k
-            yield byte >> (7 - k) & 1, [(0, context, so_far, node), (1, script, so_far, node), (2, so_far, node), (3, script, so_far[-3:], node), (4, script, so_far[-2:], node)], i
+            yield byte >> (7 - k) & 1, [(0, context, so_far, node), (1, script, so_far, node), (2, script, so_far[-3:], node), (3, script, so_far[-2:], node)], i
 
 
 def brute_tokens(t):
@@ -636,17 +636,17 @@ def test_lm_counts_every_pair(spark, monkeypatch):
     texts = [("é " if i % 3 else "") + " ".join(rng.choice(stems) + rng.choice(["", "x", "xy", str(rng.randrange(60))]) for _ in range(20)) for i in range(40)]
     docs = spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean").repartition(3)
     vocab, _ = lm_scoring.vocabulary(docs)
-    want = [Counter(), Counter(), Counter()]
+    want = [Counter(), Counter()]
     for r in vocab.where("n_train > 0").collect():
         word, n = bytes(r["word"]), r["n_train"]
         spelled = word if word == lm_scoring.END else word + b" "
         for i, byte in enumerate(spelled):
             for bit in range(8):
-                for k, cue in enumerate((r["cue"], r["cue"] % lm_scoring.CUES, None)):
+                for k, cue in enumerate((r["cue"], r["cue"] % lm_scoring.CUES)):
                     want[k][cue, spelled[:i], byte >> (8 - bit), byte >> (7 - bit) & 1, bit] += n
     assert sum(n < 4 for n in want[0].values()) > 100
     chunks = lm_scoring.counted(lm_scoring.chunked(vocab))[1]
-    found, pairs = [{}, {}, {}], 0
+    found, pairs = [{}, {}], 0
     for row in lm_scoring.chunks_of(chunks.toArrow().to_batches()):
         chunk = lm_scoring.Chunk(row)
         pairs += len(chunk.words)
@@ -657,13 +657,13 @@ def test_lm_counts_every_pair(spark, monkeypatch):
             i = at[row]
             at[row] += 1
             for bit in range(8):
-                for k, cue in enumerate((int(chunk.cues[row]), int(chunk.cues[row]) % lm_scoring.CUES, None)):
+                for k, cue in enumerate((int(chunk.cues[row]), int(chunk.cues[row]) % lm_scoring.CUES)):
                     _, kind, counts = chunk.trees[k]
                     for b in (0, 1):
                         key = cue, spelled[:i], spelled[i] >> (8 - bit), b, bit
                         assert found[k].setdefault(key, counts[b, kind[one * 8 + bit]]) == counts[b, kind[one * 8 + bit]]
     assert pairs == vocab.count() and chunks.count() > 10
-    for k in (0, 1, 2):
+    for k in (0, 1):
         assert {key: n for key, n in found[k].items() if n} == dict(want[k])
 
 
