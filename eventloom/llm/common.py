@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -88,7 +89,23 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
         for batch in batches:
             yield from each(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow whose worker gives the memory of a task back when it ends, since workers live on and share the executor."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return df.mapInArrow(task, schema)
 
 
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, longs, map_arrow, record, slices, small_side, texts_of, tidy, written
+from .common import dropped, longs, map_arrow, map_batches, record, slices, small_side, texts_of, tidy, written
 from .graph import components
 from .textvec import Words, mix
 
@@ -255,7 +255,7 @@ def _shared(rows: DataFrame) -> DataFrame:
             held = int(sig[-1]), int(pivot[-1]), bool(big[-1])
             yield record(out, *(np.concatenate(c).astype(np.int64) for c in (s, x, p)))
 
-    return rows.mapInArrow(run, "sig long, a long, pivot long")
+    return map_batches(rows, run, "sig long, a long, pivot long")
 
 
 def _open_pairs(placed: DataFrame, classes: DataFrame, percent: int, parts: int) -> DataFrame:
@@ -326,7 +326,7 @@ def _open_pairs(placed: DataFrame, classes: DataFrame, percent: int, parts: int)
                 held.append((own[lo:hi], a[lo:hi], root[lo:hi], n[lo:hi], cells[lo:hi]))
         yield from close()
 
-    return dealt.mapInArrow(run, "x long, y long").distinct()
+    return map_batches(dealt, run, "x long, y long").distinct()
 
 
 def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -347,7 +347,7 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 yield record(out, batch.column("x").to_numpy()[good], batch.column("y").to_numpy()[good])
 
     both = pairs.join(x, "x").join(y, "y").select("x", "y", "n_x", "n_y", "s_x", "s_y")
-    return both.mapInArrow(run, "x long, y long")
+    return map_batches(both, run, "x long, y long")
 
 
 def _texts(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
