@@ -571,7 +571,7 @@ def test_lm_score_by_definition(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "CHUNK", 9)
     kept = {}
     fit = lm_scoring.fit
-    monkeypatch.setattr(lm_scoring, "fit", lambda vocab: kept.setdefault("fit", fit(vocab)))
+    monkeypatch.setattr(lm_scoring, "fit", lambda chunks: kept.setdefault("fit", fit(chunks)))
     rng = random.Random(31)
     words = ["the", "of", "Cat", "caté", "dog", "über", "x", "a" * 40, "\u0416\u0436", "123"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(24)] + ["the cat sat " * 9, None, "", "zz " + "q" * 1500, "\tof\nof  of of of of"]
@@ -673,8 +673,12 @@ def test_lm_rare_words_are_learned(spark):
     name = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4))
     twice, never = [name() for _ in range(2000)], [name() for _ in range(500)]
     data = [(i, " ".join(twice[i % 100 * 20 : i % 100 * 20 + 20]), True) for i in range(200)] + [(200, " ".join(never), False)]
-    model, chunks = lm_scoring.fit(lm_scoring.vocabulary(spark.createDataFrame(data, "doc_id long, text string, train boolean"))[0])
-    logp = {bytes(r["word"]).decode(): r["logp"] for r in lm_scoring.scored_vocabulary(chunks, model).collect()}
+    model, chunks = lm_scoring.fit(lm_scoring.chunked(lm_scoring.vocabulary(spark.createDataFrame(data, "doc_id long, text string, train boolean"))[0]))
+    word_of = {}
+    for row in lm_scoring.chunks_of(chunks.toArrow().to_batches()):
+        chunk = lm_scoring.Chunk(row)
+        word_of |= dict(zip(lm_scoring.keys_of(chunk.words, chunk.cues)[0].view(np.int64).tolist(), chunk.words.to_pylist(), strict=True))
+    logp = {word_of[r["k1"]].decode(): r["logp"] for r in lm_scoring.scored_vocabulary(chunks, model).collect()}
     assert np.mean([logp[w] for w in twice]) > np.mean([logp[w] for w in never]) + 1
 
 
