@@ -22,6 +22,8 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 32 << 20
 #: Rows that Spark hands to Python at a time, so that long texts stay within a worker's memory.
 ARROW_ROWS = 1024
+#: Numbers of glibc's settings in mallopt().
+_TRIM_THRESHOLD, _MMAP_THRESHOLD = -1, -3
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -96,14 +98,19 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     """mapInArrow whose worker gives the memory of a task back when it ends, since workers live on and share the executor."""
 
     def task(batches):
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            # freed arrays are used again within the task rather than mapped anew
+            libc.mallopt(_MMAP_THRESHOLD, 32 << 20)
+            libc.mallopt(_TRIM_THRESHOLD, 256 << 20)
+        except (OSError, AttributeError):  # another C library
+            libc = None
         try:
             yield from run(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            if libc is not None:
+                libc.malloc_trim(0)
 
     return df.mapInArrow(task, schema)
 
