@@ -22,6 +22,8 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 THRESHOLD = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -159,7 +161,7 @@ def license_matches(docs: DataFrame, threshold: float = THRESHOLD, templates=TEM
     shared = shared.where((F.col("size") >= F.col("n") * (threshold / (2 - threshold))) & (F.col("size") <= F.col("n") * ((2 - threshold) / threshold)))
     counts = shared.groupBy("doc_id", "line", "unit", "n", "template", "license", "size").agg(F.countDistinct("bigram").alias("both"))
     dice = 2.0 * F.col("both") / (F.col("n") + F.col("size"))
-    found = counts.where(dice >= threshold).select("doc_id", "line", "license", "template", dice.alias("dice"))
+    found = written(counts.where(dice >= threshold).select("doc_id", "line", "license", "template", dice.alias("dice")), "unit-matches")
     runs = license_passages(docs, threshold, templates).alias("r")
     covers = (F.col("f.line") == -1) | F.col("f.line").between(F.col("r.from_line"), F.col("r.to_line"))
     same = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.license") == F.col("f.license")) & (F.col("r.dice") <= F.col("f.dice"))
