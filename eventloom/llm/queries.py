@@ -92,6 +92,40 @@ FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
 WINDOW g AS (PARTITION BY norm)
 """
 
+#: Shingle sets by definition: classes of equal sets, all pairs that share a shingle, and what links reach.
+OP6_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)) AS i FROM texts)),
+sets AS MATERIALIZED (SELECT doc_id, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM shingles GROUP BY doc_id),
+classes AS MATERIALIZED (SELECT h, min(doc_id) AS c, max(n) AS n FROM sets GROUP BY h),
+members AS MATERIALIZED (SELECT c, n, g FROM classes JOIN shingles ON doc_id = c),
+pairs AS MATERIALIZED (
+  SELECT a.c AS x, b.c AS y FROM members a JOIN members b ON a.g = b.g AND a.c < b.c AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+links AS MATERIALIZED (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+reach(c, r) AS (SELECT c, c FROM classes UNION SELECT reach.c, links.y FROM reach JOIN links ON reach.r = links.x),
+least AS (SELECT c, min(r) AS r FROM reach GROUP BY c)
+SELECT d.doc_id, coalesce(sets.n, 0) AS n_shingles, coalesce(least.r, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sets ON sets.doc_id = d.doc_id LEFT JOIN classes ON classes.h = sets.h LEFT JOIN least ON least.c = classes.c
+"""
+
+#: Each window of 50 words by its text, and each word that a repeated one covers.
+OP7_SQL = r"""
+WITH texts AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS MATERIALIZED (
+  SELECT doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts)),
+first AS (SELECT h, min(doc_id) AS lo FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM windows JOIN first USING (h) WHERE doc_id > lo),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -104,4 +138,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_decontaminate": op10_decontaminate,
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op9_exact_dedup": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
+    "op6_ngram_join": OP6_SQL,
+    "op7_substring_dedup": OP7_SQL,
+    "op9_exact_dedup": OP9_SQL,
+}
