@@ -58,6 +58,35 @@ def test_json_schema():
         assert problems(bad, schema, schema, False)
 
 
+@pytest.mark.parametrize(
+    "schema, good, bad",
+    [
+        ({"allOf": [{"properties": {"a": {"type": "integer"}}}], "unevaluatedProperties": False}, [{}, {"a": 1}, 5], [{"b": 1}, {"a": "x"}, {"a": 1, "b": 2}]),
+        ({"anyOf": [{"required": ["a"], "properties": {"a": True}}, {"properties": {"b": {"const": 1}}}], "unevaluatedProperties": {"type": "null"}}, [{"a": 1, "b": 1}, {"b": 1, "c": None}], [{"a": 1, "b": 2}]),
+        ({"if": {"properties": {"k": {"const": 1}}}, "then": {"properties": {"x": True}}, "unevaluatedProperties": False}, [{"k": 1, "x": 2}], [{"k": 2}, {"k": 1, "y": 2}]),
+        ({"prefixItems": [{"type": "string"}], "contains": {"type": "integer"}, "unevaluatedItems": False}, [["a", 1], ["a", 1, 2]], [["a"], ["a", 1, "b"]]),
+        ({"contains": {"const": 1}, "minContains": 2, "maxContains": 3}, [[1, 1], [1, 0, 1, 1.0]], [[1], [1, True], [1, 1, 1, 1]]),
+        ({"contains": {"const": 1}, "minContains": 0}, [[], [2]], []),
+        ({"dependentSchemas": {"a": {"required": ["b"]}}}, [{}, {"b": 1}, {"a": 1, "b": 1}], [{"a": 1}]),
+        ({"enum": [1, [0], {"x": False}]}, [1, 1.0, [0], {"x": False}], [True, [False], {"x": 0}]),
+        ({"uniqueItems": True}, [[1, True], [0, False, "0"]], [[1, 1.0], [{"a": 1}, {"a": 1.0}]]),
+        ({"$defs": {"n": {"$anchor": "node", "properties": {"next": {"$ref": "#node"}, "v": {"type": "integer"}}}}, "$ref": "#/$defs/n"}, [{"next": {"next": {"v": 1}}}], [{"next": {"next": {"v": "1"}}}]),
+        ({"$id": "https://x.org/a", "$ref": "b", "$defs": {"b": {"$id": "b", "type": "string"}}}, ["s"], [1]),
+        ({"allOf": [{"type": "string"}, {"maxLength": 2}], "$ref": "#/allOf/1"}, ["ab"], ["abc", 1]),
+        ({"$dynamicAnchor": "t", "properties": {"c": {"items": {"$dynamicRef": "#t"}}}, "unevaluatedProperties": False}, [{"c": [{"c": []}]}], [{"c": [{"d": 1}]}]),
+    ],
+)
+def test_json_schema_keywords(schema, good, bad):
+    assert [v for v in good if problems(v, schema, schema, False)] == []
+    assert [v for v in bad if not problems(v, schema, schema, False)] == []
+
+
+def test_json_schema_reference_elsewhere():
+    for ref in ("https://y.org/z", "#gone", "#/$defs/gone"):
+        with pytest.raises(ValueError, match="Unresolvable"):
+            problems(1, {"$ref": ref}, {"$ref": ref}, False)
+
+
 @pytest.mark.parametrize("program, want", [('decode_gzip!(encode_gzip("héllo"))', "héllo"), ('decode_lz4!(encode_lz4("aaaaaaaaaaaaaaaaaaaab"), prepended_size: true)', "aaaaaaaaaaaaaaaaaaaab"), ('decrypt_ip!(encrypt_ip!("2001:db8::5", "sixteen byte key", "aes128"), "sixteen byte key", "aes128")', "2001:db8::5"), ('unflatten(flatten({"a": {"b": 1, "c": {"d": 2}}}))', {"a": {"b": 1, "c": {"d": 2}}})])
 def test_round_trips(spark, program, want):
     assert evaluate(spark, program, {})["result"] == want
