@@ -14,7 +14,8 @@ CUES classes: it says which language a text is in) and the class of the word bef
 by a hash; all others and none are one). Logits of the predictors are summed with weights from a set that a gate chooses (how well the
 longest context is known, and the place in the word); the sum is refined by an adaptive table of the gate's own experience. Weights and refinement
 are learned online, over all training tokens, each left out of its own counts of the word so far, in minibatches; tasks learn apart and their
-weights are averaged by the tokens they saw. A word's bytes beyond LONG cost the same each.
+weights are averaged by the tokens they saw. Every byte of a word is spelled: what follows its first PIECE bytes is in the table as pieces of as many, each with
+the beginning it stands after, so that its decisions are those of the whole word; a word without end takes no more memory than many words.
 
 The spelling of a token depends on the token and the context before it alone, so the corpus is first counted into a table of (context, word) with
 training counts, which is the model's training set and all that is spelled. It is sorted by word and cut into chunks of bounded bytes. Words of
@@ -32,6 +33,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from hashlib import blake2b
 from math import log10
 
 import numpy as np
@@ -47,8 +49,10 @@ from .textvec import Words, mix, powers, random64
 CUES, CLASSES, SHORT = 16, 8, 3
 #: (context, word) pairs in the broadcast score table.
 HEAD = 3 << 19
-#: (context, word) pairs of a chunk, and bytes to spell in it, at most; pairs of a task; bytes of a word that are spelled.
-CHUNK, CHUNK_BYTES, TASK, LONG = 8192, 1 << 17, 100_000, 1024
+#: (context, word) pairs of a chunk, and bytes to spell in it, at most; pairs of a task; bytes of a word that are spelled at a time.
+CHUNK, CHUNK_BYTES, TASK, PIECE = 8192, 1 << 17, 100_000, 1024
+#: Bytes of a word that are spelled: all, as no text is longer.
+LONG = 1 << 31
 #: Predictors that are counted by chunk, without tables: word so far with context, with cue.
 TREES = 2
 #: log2 of the slots of the other predictors: last 3 bytes with cue, last 2 bytes with cue.
@@ -60,6 +64,9 @@ STEPS = 33  # of the refinement, over logits from -8 to 8
 END = b"\n"
 _BYTE = random64(23, 256)
 _END = 0x5DEECE66D  # stands for the hash of a text's end
+_BASE = 0x9E3779B97F4A7C15  # of the hash of a word so far
+#: A piece in the vocabulary: a space, which begins no word, hash and length of the word so far, the three bytes before, last one first; then its bytes.
+HEADER = 1 + 8 + 8 + 3
 
 
 def grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,6 +149,19 @@ class Tokens:
         cell[made], hit[made] = row * MADE + tried, true
         return cell[place], hit[place]
 
+    def pieces(self) -> tuple[np.ndarray, pa.Array]:
+        """The pieces after the first PIECE bytes of words, as the vocabulary has them, and the token of each. The last one has the closing space, and may
+        have no byte besides."""
+        w, of, found = self.words, [], []
+        for token in np.flatnonzero(w.ends - w.starts >= PIECE).tolist():
+            word, so_far, power = w.data[w.starts[token] : w.ends[token]], 0, 1
+            for at in range(PIECE, len(word) + 1, PIECE):
+                so_far = (so_far + power * int((_BYTE[word[at - PIECE : at]] * powers(_BASE, PIECE)).sum(dtype=np.uint64))) % 2**64
+                power = power * pow(_BASE, PIECE, 2**64) % 2**64
+                of.append(token)
+                found.append(b" " + so_far.to_bytes(8, "little") + at.to_bytes(8, "little") + word[at - 3 : at][::-1].tobytes() + word[at : at + PIECE].tobytes())
+        return np.array(of, np.int64), pa.array(found, pa.binary())
+
     def spelled(self, at: np.ndarray) -> pa.Array:
         """The words at the given tokens, as binary."""
         w = self.words
@@ -159,7 +179,7 @@ class Tokens:
 
 
 def vocabulary(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """word, cue, n_train and n_all of each pair; and cue, n_train, n_all of the repeat decision's cells: predictions that came true and those
+    """word (or piece), cue, n_train and n_all of each pair; and cue, n_train, n_all of the repeat decision's cells: predictions that came true and those
     made, in training texts. docs: text, train."""
     out = pa.schema([("word", pa.binary()), ("cue", pa.int32()), ("n_train", pa.int64()), ("n_all", pa.int64())])
 
@@ -170,6 +190,9 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 train = part.column("train").to_numpy(zero_copy_only=False).astype(bool)[found.text]
                 first, kind = grouped(found.key)
                 yield record(out, found.spelled(first), found.cue[first].astype(np.int32), np.bincount(kind, train, len(first)).astype(np.int64), np.bincount(kind, minlength=len(first)))
+                token, pieces = found.pieces()
+                if len(token):
+                    yield record(out, pieces, found.cue[token].astype(np.int32), train[token].astype(np.int64), np.ones(len(token), np.int64))
                 cell, hit = found.repeats()
                 made = (cell >= 0) & train
                 tried, true = np.bincount(cell[made], minlength=ROWS * MADE), np.bincount(cell[made & hit], minlength=ROWS * MADE)
@@ -185,19 +208,20 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def chunked(vocab: DataFrame) -> DataFrame:
     """One row for each chunk of neighbours of the vocabulary: id; words, sizes, cues, n_train, n_all and c (training tokens of the word) of its
-    pairs as bytes; and how many words it has that occur in training. All pairs of a word, CUES * CLASSES at most, are in one chunk."""
+    pairs as bytes; how many words it has that occur in training, and how often they do; pieces are no words. All pairs of a word, CUES * CLASSES at most,
+    are in one chunk."""
     parts = max(1, -(-vocab.count() // TASK))
     # a word's closing space counts in the order, so that all words of one beginning, to the bit, are neighbours
     order = F.concat("word", F.lit(b" "))
-    out = pa.schema([("words", pa.binary())] + [(name, pa.binary()) for name in ("sizes", "cues", "n_train", "n_all", "c")] + [("kinds", pa.int64())])
+    out = pa.schema([("words", pa.binary())] + [(name, pa.binary()) for name in ("sizes", "cues", "n_train", "n_all", "c")] + [("kinds", pa.int64()), ("tokens", pa.int64())])
 
     def pack(batches):
         def full(table: pa.Table, begins: np.ndarray):
             data, offsets = _binary(table.column("word"))
             n_train, n_all = (table.column(name).to_numpy().astype(np.int64) for name in ("n_train", "n_all"))
-            c = np.add.reduceat(n_train, begins)
+            c = np.add.reduceat(np.where(is_piece(data, offsets), 0, n_train), begins)
             each = np.repeat(c, np.diff(np.append(begins, table.num_rows)))
-            return record(out, [data.tobytes()], [np.diff(offsets).astype(np.int32).tobytes()], [table.column("cue").to_numpy().astype(np.uint8).tobytes()], *[[x.tobytes()] for x in (n_train, n_all, each)], [int((c > 0).sum())])
+            return record(out, [data.tobytes()], [np.diff(offsets).astype(np.int32).tobytes()], [table.column("cue").to_numpy().astype(np.uint8).tobytes()], *[[x.tobytes()] for x in (n_train, n_all, each)], [int((c > 0).sum())], [int(c.sum())])
 
         held = None
         for batch in batches:
@@ -208,7 +232,7 @@ def chunked(vocab: DataFrame) -> DataFrame:
             words = held.column("word").combine_chunks()
             begins = np.flatnonzero(np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)]))
             # whole words alone: the last one may go on in the next batch
-            bytes_to = np.cumsum(np.minimum(pc.binary_length(words).to_numpy(), LONG) + 1)
+            bytes_to = np.cumsum(np.minimum(pc.binary_length(words).to_numpy(), PIECE) + 1)
             lo = 0
             while True:
                 spent = int(bytes_to[lo - 1]) if lo else 0
@@ -230,7 +254,7 @@ def chunked(vocab: DataFrame) -> DataFrame:
             yield full(held, np.flatnonzero(np.concatenate([[True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)])))
 
     ranged = vocab.select("word", "cue", "n_train", "n_all").repartitionByRange(parts, order).sortWithinPartitions(order, "cue")
-    rows = map_batches(ranged, pack, "words binary, sizes binary, cues binary, n_train binary, n_all binary, c binary, kinds long")
+    rows = map_batches(ranged, pack, "words binary, sizes binary, cues binary, n_train binary, n_all binary, c binary, kinds long, tokens long")
     return written(rows.withColumn("chunk", F.monotonically_increasing_id()), "chunks")
 
 
@@ -246,10 +270,9 @@ class Chunk:
         self.rim = Decisions(self.words.take(pa.array([0, len(sizes) - 1])), self.cues[[0, -1]]).prefix if len(sizes) else np.zeros(0, np.uint64)
         if train_only:  # the others count for nothing
             seen = np.flatnonzero(self.n_train)
-            self.words, sizes = self.words.take(pa.array(seen)), sizes[seen]
+            self.words = self.words.take(pa.array(seen))
             self.cues, self.n_train, self.n_all, self.c = (x[seen] for x in (self.cues, self.n_train, self.n_all, self.c))
         self.decisions = d = Decisions(self.words, self.cues)
-        self.beyond = np.maximum(sizes.astype(np.int64) - LONG + 1, 0) * np.log10(1 / 257)  # log10 probability of the bytes beyond LONG
         self.n = d.weights(self.n_train)
         self.trees = []  # of each predictor: a decision of each of its contexts, the context of each decision, counts of both bits
         for c in d.contexts[:TREES]:
@@ -328,19 +351,30 @@ class Decisions:
 
     def __init__(self, words: pa.Array, cues: np.ndarray):
         data, offsets = _binary(words)
-        lengths = np.diff(offsets)
-        whole = lengths < LONG
-        is_end = (lengths == 1) & (data[np.minimum(offsets[:-1], max(0, len(data) - 1))] == END[0]) if len(data) else np.zeros(len(lengths), bool)
-        sizes = np.where(is_end, 1, np.where(whole, lengths + 1, LONG))  # each word has its closing space, but for the longest
+        pieces = np.flatnonzero(is_piece(data, offsets))
+        starts, lengths = offsets[:-1].copy(), np.diff(offsets)
+        starts[pieces] += HEADER
+        lengths[pieces] -= HEADER
+        is_end = (lengths == 1) & (data[np.minimum(starts, max(0, len(data) - 1))] == END[0]) if len(data) else np.zeros(len(lengths), bool)
+        sizes = np.where(is_end, 1, np.minimum(lengths + 1, PIECE))  # each word has its closing space, the longer ones in their last piece
         first = np.concatenate([[0], np.cumsum(sizes)])
         self.row = row = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(int(first[-1])) - first[row]
         symbol = np.full(len(row), 0x20, np.uint8)
         inside = place < lengths[row]
-        symbol[inside] = data[(offsets[:-1][row] + place)[inside]]
-        values = _BYTE[symbol] * powers(0x9E3779B97F4A7C15, int(place.max(initial=0)) + 1)[place]
+        symbol[inside] = data[(starts[row] + place)[inside]]
+        values = _BYTE[symbol] * powers(_BASE, int(place.max(initial=0)) + 1)[place]
+        if len(pieces):  # they go on from the word so far
+            head = data[offsets[:-1][pieces][:, None] + np.arange(1, HEADER)]
+            so_far, ahead, power = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.uint64)
+            so_far[pieces], ahead[pieces] = head[:, :8].copy().view("<u8")[:, 0], head[:, 8:16].copy().view("<i8")[:, 0]
+            power[pieces] = [pow(_BASE, n, 2**64) for n in ahead[pieces].tolist()]
+            values *= power[row]
         sums = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
         base = sums[first[row]]
+        if len(pieces):
+            base -= so_far[row]
+            within, place = place, place + ahead[row]
         cue = np.asarray(cues).astype(np.uint64)[row]
         spot = place.astype(np.uint64)
         one, self.of = grouped(mix(sums[1:] - base + spot * np.uint64(0xA24BAED4963EE407)) + (cue + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25))
@@ -349,6 +383,9 @@ class Decisions:
         before = []
         for k in range(1, 4):
             b = symbol[np.maximum(one - k, 0)].astype(np.uint64) + np.uint64(1)
+            if len(pieces):
+                early = np.flatnonzero((within[one] < k) & (ahead[row[one]] > 0))
+                b[early] = head[np.searchsorted(pieces, row[one[early]]), 16 + k - 1 - within[one[early]]].astype(np.uint64) + np.uint64(1)
             before.append(np.where(place >= k, b, np.uint64(0)))
         b1, b2, b3 = before
         script = cue % np.uint64(CUES)
@@ -391,6 +428,11 @@ class Decisions:
         return np.repeat(np.bincount(self.of, n[self.row], len(self.bit) // 8), 8)
 
 
+def is_piece(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Whether each word of a vocabulary, none of which is empty, is a piece of one."""
+    return data[offsets[:-1]] == 0x20
+
+
 def _binary(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(words, pa.ChunkedArray):
         words = words.combine_chunks()
@@ -432,7 +474,7 @@ class Model:
         _, gate, z = self.mix(d, chunk.tree(out=False))
         p = self.probabilities(gate, z)
         each = np.log10(np.where(d.bit == 1, p, 1 - p)).reshape(-1, 8).sum(1, dtype=np.float64)
-        return np.bincount(d.row, each[d.of], len(chunk.words)) + chunk.beyond
+        return np.bincount(d.row, each[d.of], len(chunk.words))
 
     def probabilities(self, gate: np.ndarray, z: np.ndarray) -> np.ndarray:
         """Of a one: the mean of the mixed and the refined probability."""
@@ -592,13 +634,18 @@ def scored_vocabulary(chunks: DataFrame, model: Model) -> DataFrame:
 
 
 def keys_of(words: pa.Array, cues: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys of pairs, as Tokens has them."""
+    """The keys of pairs, as Tokens has them; those of pieces are digests."""
     data, offsets = _binary(words)
     is_end = np.diff(offsets) == 1
     is_end[is_end] = data[offsets[:-1][is_end]] == END[0]
     hashes, shapes = np.full(len(words), _END, np.uint64), np.zeros(len(words), np.uint64)
-    w = Words(data, offsets)
-    hashes[~is_end], shapes[~is_end] = w.hashes(), shapes_of(w)
+    pieces = is_piece(data, offsets)
+    if pieces.any():
+        digests = [blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest() for i in np.flatnonzero(pieces).tolist()]
+        hashes[pieces], shapes[pieces] = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2).T
+        data, offsets = _binary(words.filter(pa.array(~pieces)))
+    w, plain = Words(data, offsets), ~is_end & ~pieces
+    hashes[plain], shapes[plain] = w.hashes(), shapes_of(w)
     return mix(hashes * np.uint64(31) + cues.astype(np.uint64)), shapes * np.uint64(CUES * CLASSES) + cues.astype(np.uint64)
 
 
@@ -624,8 +671,7 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("train", F.lit(False)).alias("train"))
     vocab, cells = vocabulary(docs)
     chunks = chunked(vocab)
-    total = vocab.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
-    kinds = chunks.agg(F.coalesce(F.sum("kinds"), F.lit(0))).first()[0]
+    total, kinds = chunks.agg(*[F.coalesce(F.sum(name), F.lit(0)) for name in ("tokens", "kinds")]).first()
     base = F.log10((F.col("c") + 0.1) / F.lit(total + 0.1 * (kinds + 1)))
     model, chunks = fit(chunks)
     table = scored_vocabulary(chunks, model).withColumn("base", base)
@@ -649,6 +695,11 @@ def score(docs: DataFrame, head: int = HEAD) -> DataFrame:
                 known, base, logp = (np.where(in_head, v[at], 0) if len(head_keys) else np.zeros(len(keys)) for v in (head_known, head_base, head_logp))
                 cell, true = found.repeats()
                 own = np.where(cell >= 0, repeat[true.astype(np.int64), cell], 0.0) + np.where(true, 0.0, logp[kind])
+                token, pieces = found.pieces()
+                if len(token):  # they are spelled with the first bytes of their words, and are no tokens
+                    token, pieces = token[~true[token]], pieces.filter(pa.array(~true[token]))
+                    m, none = len(token), np.zeros(len(token), np.int64)
+                    yield record(out, rows[found.text[token]], pa.nulls(m, pa.int64()), *map(longs, keys_of(pieces, found.cue[token])), none, np.ones(m, np.int64), none, none, np.zeros(m), np.zeros(m))
                 none, size = pa.nulls(n, pa.int64()), np.diff(found.words.offsets) + 1
                 yield record(out, rows, ids, none, none, np.bincount(found.text, minlength=n), np.zeros(n, np.int64), size, np.bincount(found.text, known[kind], n).astype(np.int64), np.bincount(found.text, base[kind], n), np.bincount(found.text, own, n))
                 rest = np.flatnonzero(~in_head[kind])

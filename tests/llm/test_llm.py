@@ -617,6 +617,41 @@ def test_lm_score_by_definition(spark, monkeypatch):
             assert got[i]["bits_per_byte"] == pytest.approx(-got[i]["score"] / log10(2) / (len((t or "").encode()) + 1))
 
 
+def test_lm_pieces_are_the_whole_word(monkeypatch):
+    """Decisions of a word's pieces, one after the other, are those of the word spelled at once."""
+    rng = random.Random(6)
+    data = ["".join(rng.choice("abcdé語") for _ in range(n)) for n in (300, 4000, 1)] + ["x" * 1023, "y" * 1024, "z" * 2048, "w" * 2049]
+    cues = np.array([0, 19, 3, 1, 40, 127, 5])
+    tokens = lm_scoring.Tokens(pa.array([" ".join(data)]))
+    token, pieces = tokens.pieces()
+    assert Counter(token.tolist()) == {i: len(w.encode()) // 1024 for i, w in enumerate(data) if len(w.encode()) >= 1024}
+    words = tokens.spelled(np.arange(len(data)))
+    order = np.argsort(np.concatenate([np.arange(len(data)), token]), kind="stable")
+    cut = lm_scoring.Decisions(pa.concat_arrays([words, pieces]).take(pa.array(order)), np.concatenate([cues, cues[token]])[order])
+    monkeypatch.setattr(lm_scoring, "PIECE", 1 << 20)
+    whole = lm_scoring.Decisions(words, cues)
+    assert len(whole.of) == sum(len(w.encode()) + 1 for w in data)
+    for k in range(4):
+        assert (whole.contexts[k][whole.of] == cut.contexts[k][cut.of]).all()
+    for name in ("bit", "step"):
+        one, other = (getattr(d, name).reshape(-1, 8)[d.of] for d in (whole, cut))
+        assert (one == other).all()
+
+
+@pytest.mark.parametrize("head", [lm_scoring.HEAD, 0])
+def test_lm_reads_long_words_to_their_ends(spark, head):
+    """A text without spaces counts to its last byte: what was learned there is likelier than what wasn't. Its pieces are no tokens."""
+    rng = random.Random(9)
+    beginning, known, other = ("".join(rng.choice(x) for _ in range(n)) for x, n in (("abcd", 3000), ("efgh", 900), ("ijkl", 900)))
+    data = [(i, beginning + known, True) for i in range(3)] + [(3, "ijkl lkji", True), (4, beginning + known, False), (5, beginning + other, False), (6, beginning + known[:-1] + "z", False)]
+    got = {r["doc_id"]: r for r in lm_scoring.score(spark.createDataFrame(data, "doc_id long, text string, train boolean").repartition(2), head=head).collect()}
+    assert got[4]["score"] > got[6]["score"] > got[5]["score"] + 100
+    assert {(r["n_tokens"], r["n_known"], r["train_tokens"]) for i, r in got.items() if i != 3} == {(2, 2, 9), (2, 1, 9)}
+    z = 9 + 0.1 * 5
+    assert got[4]["base_score"] == pytest.approx(log10(3.1 / z) + log10(4.1 / z))
+    assert got[5]["base_score"] == pytest.approx(log10(0.1 / z) + log10(4.1 / z))
+
+
 def test_lm_order_counts(spark):
     """The same words in another order, or said again, score otherwise."""
     rng = random.Random(2)
