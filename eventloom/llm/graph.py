@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, tidy, written
 
 #: Rounds at most; they grow with the logarithm of the longest path, so this is out of reach.
 ROUNDS = 60
@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         dropped(last, near, large, least)
+        tidy(edges.sparkSession)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == mark:
             break

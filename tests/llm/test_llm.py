@@ -94,6 +94,15 @@ def test_components(spark):
 # --- 1 licences
 
 
+def test_driver_lets_go_each_round(spark, monkeypatch):
+    """Each round of stars gives the driver's memory back, Arrow's with it."""
+    pool, calls = pa.default_memory_pool(), []
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: calls.append(1) or pool)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(6)], "u long, v long")
+    assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(i, 0) for i in range(7)}
+    assert len(calls) >= 2
+
+
 def test_license_scan(spark):
     data = [(1, "Some words here.\nReleased under the MIT License.\nmore"), (2, "Licensed under the Apache License, Version 2.0."), (3, "nothing at all"), (4, None), (5, ""), (6, "RELEASED under the mit LICENSE"), (None, "Licensed under CC BY-NC 4.0."), (1, "Some words here.\nReleased under the MIT License.\nmore")]
     got = license_scan.license_scan(spark.createDataFrame(data, "doc_id long, text string").withColumn("license", F.lit("clash"))).collect()
