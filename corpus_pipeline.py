@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import language_id, mixing
-from eventloom.llm.common import scratch_path, small_side, written
+from eventloom.llm.common import executors_tidy, scratch_path, small_side, written
 from eventloom.llm.decontaminate import decontaminate
 from eventloom.llm.ngram_join import similar_components
 from eventloom.llm.queries import END_ID, tokenizer_path
@@ -52,12 +52,14 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice."""
+    executors_tidy(spark)
     found = mixing.mixed(docs.select(*COLUMNS))
     return found.select(*COLUMNS, F.explode(F.when(F.col("times") > 0, F.sequence(F.lit(1), F.col("times"))).otherwise(F.array().cast("array<int>"))).alias("__copy")).select(*COLUMNS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token records of all rows, with the place of each in its file and in the whole."""
+    executors_tidy(spark)
     index = write_records(docs, scratch_path(spark, "records"), tokenizer_path(), END_ID)
     return with_starts(index).select("doc_id", "start", "n_tokens", "ids_crc32", "file", "offset", "length")
 

@@ -25,7 +25,7 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_side, written
+from .common import few_rows, small_side, written
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Bits of a slot number in a histogram of places, and of each of a place's two numbers.
@@ -191,7 +191,7 @@ def passes(docs: DataFrame, sized: DataFrame, wanted: Sequence[tuple[int, float,
     spark = docs.sparkSession
     whole = lambda flow, size: min(repeats, floor(flow / size + 1e-12)) if size else 0
     rows = [(p, whole(flow, size), max(0.0, flow - whole(flow, size) * size) if size else 0.0) for p, flow, size in wanted]
-    plan = written(spark.createDataFrame(rows, "__pattern int, __whole int, __part double"), "plan")
+    plan = written(few_rows(spark, rows, "__pattern int, __whole int, __part double"), "plan")
     bounds = written(plan.join(cuts(sized, plan, few), "__pattern", "left"), "bounds")
     out = docs.join(small_side(bounds, 48), "__pattern", "left")
     upto = (F.col("__place") < F.col("__last")) | ((F.col("__place") == F.col("__last")) & (F.col("__place2") <= F.col("__last2")))
@@ -233,7 +233,7 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SH
         total[p] = total.get(p, 0.0) + f
     spark = docs.sparkSession
     rows = [(list(p), i, sum(sizes[s] for s in numbered[p]), float(sum(goal[s] for s in numbered[p]))) for i, p in enumerate(order)]
-    table = written(spark.createDataFrame(rows, "__of array<string>, __pattern int, __source_size long, __target double"), "patterns")
+    table = written(few_rows(spark, rows, "__of array<string>, __pattern int, __source_size long, __target double"), "patterns")
     width = 64 + max((sum(len(s or "") for s in p) for p in order), default=0)
     patterned = lambda rows: rows.join(small_side(table, width), F.col("__names").eqNullSafe(F.col("__of")), "left").drop("__names", "__of")
     if keep is None:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, longs, map_arrow, map_batches, record, slices, small_side, texts_of, tidy, written
+from .common import dropped, executors_tidy, longs, map_arrow, map_batches, record, slices, small_side, texts_of, tidy, written
 from .graph import components
 from .textvec import Words, mix
 
@@ -360,7 +360,7 @@ def _texts(docs: DataFrame, classes: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int, parts: int) -> DataFrame:
     """Those of pairs (x, y: classes; a written table) that are similar. y is the pivot that texts of its partners are sent to."""
-    shares = written(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("shares")), "shares")
+    shares = written(pairs.groupBy("y").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("shares")), "shares", rows=pairs.count())
     lead = shares.select(F.col("y").alias("a"), F.col("y").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("partner"))
     rest = pairs.join(shares, "y").select(F.col("x").alias("a"), F.col("y").alias("pivot"), F.pmod(F.xxhash64("x"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("partner"))
     asked = written(lead.union(rest), "asked")
@@ -419,10 +419,12 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     ranked = written(buckets.join(degrees, "a"), "ranked")
     dropped(buckets, degrees)
     tidy(docs.sparkSession)
+    executors_tidy(docs.sparkSession)
     # rows of one doc_id are one document, so their classes are linked
     repeated = _one_document(sets)
     links = written(full.join(small_side(repeated), "doc_id").where("a <> first").select(F.col("a").alias("x"), F.col("first").alias("y")).distinct(), "links")
     known, tried = components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), None
+    dropped(links)
     for _ in range(ROUNDS):
         placed = written(ranked.join(known.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a")), "placed")
         # in a bucket of several components, the middle of the largest of them there
@@ -438,30 +440,35 @@ def similar_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
         last, tried = tried, written(chosen if tried is None else tried.union(chosen), "tried")
         pairs = written(_may_link(tried if last is None else tried.join(last, ["x", "y"], "left_anti"), classes, percent), "pairs")
         dropped(placed, tops, last)
-        links, known = _linked(links, _verified(pairs, texts, n, percent, parts), known)
+        known = _linked(known, _verified(pairs, texts, n, percent, parts))
         dropped(pairs)
         tidy(docs.sparkSession)
+        executors_tidy(docs.sparkSession)
     # classes of one bucket that these links don't connect are compared with each other
     placed = written(ranked.join(known.withColumnRenamed("node", "a"), "a", "left").select("sig", "a", F.coalesce("root", "a").alias("root")), "placed")
     dropped(ranked, tried)
     pairs = written(_open_pairs(placed, classes, percent, parts), "open-pairs")
-    links, known = _linked(links, _verified(pairs, texts, n, percent, parts), known)
-    dropped(placed, pairs, texts, links)
+    known = _linked(known, _verified(pairs, texts, n, percent, parts))
+    dropped(placed, pairs, texts)
     # a component's id is the least doc_id of its classes
     least = written(known.join(classes, known["node"] == classes["a"]).select("node", "root", "rep"), "roots")
     named = written(least.join(least.groupBy("root").agg(F.min("rep").alias("least")), "root").select(F.col("node").alias("a"), "least"), "named")
     named, old = written(classes.select("a", "rep").join(named, "a", "left").select("a", F.coalesce("least", "rep").alias("component_id")), "class-components"), named
     dropped(least, known, classes, old)
     tidy(docs.sparkSession)
+    executors_tidy(docs.sparkSession)
     own = F.when(F.col("n_shingles") > 0, F.col("a")).otherwise(F.col("first"))  # a row without words has its document's links
     out = sets.where("doc_id IS NOT NULL").join(small_side(repeated), "doc_id", "left").withColumn("a", own).join(named, "a", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.union(sets.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
 
 
-def _linked(links: DataFrame, more: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All links, and the components they make; what they replace is deleted."""
-    every = written(links.union(more), "links")
-    roots = components(every.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    dropped(links, more, known)
-    return every, roots
+def _linked(known: DataFrame, more: DataFrame) -> DataFrame:
+    """The components that known ones make with more links; what they replace is deleted."""
+    if more.isEmpty():
+        dropped(more)
+        return known
+    edges = known.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    roots = components(edges)
+    dropped(more, known)
+    return roots

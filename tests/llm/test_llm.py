@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import language_id, license_scan, lm_scoring, mixing, ngram_join, substring_dedup, textvec, token_records, toxicity
+from eventloom.llm import common, graph, language_id, license_scan, lm_scoring, mixing, ngram_join, substring_dedup, textvec, token_records, toxicity
 from eventloom.llm.common import texts_of
 from eventloom.llm.decontaminate import budget, decontaminate, myers
 from eventloom.llm.exact_dedup import exact_dedup
@@ -91,6 +91,53 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_write_few_files(spark, monkeypatch):
+    """Each file starts processes in the JVM that writes it, so small tables are one file each, and stars take no round of their own."""
+    made = []
+
+    def kept(df, name, *a, **b):
+        out = common.written(df, name, *a, **b)
+        made.append((name, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(graph, "written", kept)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        chain = spark.createDataFrame([(i, i + 1) for i in range(300)], "u long, v long")
+        assert {(r["node"], r["root"]) for r in components(chain).collect()} == {(i, 0) for i in range(301)}
+        assert max(files for _, files in made) == 1
+        made.clear()
+        stars = spark.createDataFrame([(i % 3, i) for i in range(3, 300)], "u long, v long")
+        assert {(r["node"], r["root"]) for r in components(stars).collect()} == {(i, i % 3) for i in range(300)}
+        assert [name for name, _ in made] == ["edges", "components"]
+        monkeypatch.setattr(common, "FILE_ROWS", 100)
+        made.clear()
+        assert components(chain).where("root = 0").count() == 301
+        assert max(files for _, files in made) == 6  # of 600 rows at most
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_mixing_starts_no_workers(spark, docs, monkeypatch):
+    """The driver's tables of the mix go by Arrow; a list would start Python workers in each executor, which stay."""
+    kinds, make = [], type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: kinds.append(type(data)) or make(self, data, *a, **b))
+    assert mixing.mixed(docs).count() == docs.count()
+    assert kinds and set(kinds) == {pa.Table}
+    rows = [(["a", None], 1, 2, 0.5), ([], 2, 3, 1.0)]
+    assert [tuple(r) for r in common.few_rows(spark, rows, "a array<string>, b int, c long, d double").orderBy("b").collect()] == rows
+    assert common.few_rows(spark, [], "a int").collect() == []
+
+
+def test_executors_give_heap_back(spark):
+    assert common.executors_tidy(spark) is None  # a local run has no executors
+    assert len(spark.range(0, 2, 1, 2).selectExpr("java_method('java.lang.System', 'gc')").collect()) == 2
+
+
 # --- 1 licences
 
 
