@@ -4,8 +4,12 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.functions.crypto import attempt, crypt, crypt_many, sizes_of
+from eventloom.functions.registry import arrow
+from eventloom.plans.api import remap
+from eventloom.plans.typed import INT, STRING, Typed
 
 from test_functions import CIPHERS
 
@@ -41,3 +45,22 @@ def test_ciphers_of_a_batch_take_less_time(name):
     for row in rows[:200]:
         crypt(*row, True)
     assert at_once < 10 * (time.process_time() - began) / 5
+
+
+def test_batches_of_long_texts_have_few_rows(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    long = spark.range(0, 400, 1, 1).select(F.concat(F.repeat(F.lit("x"), 100_000), F.col("id").cast("string")).alias("text"))
+    remap(long, ".a = 1")
+    rows = arrow(None, INT, Typed(STRING, F.col("text")), many=lambda some: [len(some)] * len(some))
+    assert long.select(rows.col.alias("n")).agg(F.max("n")).first()[0] < 100
+
+
+@pytest.mark.parametrize("given, kept", [("1m", "1m"), ("2048", "2048"), ("64MB", str(4 << 20))])
+def test_smaller_bounds_of_a_session_are_kept(spark, given, kept):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, given)
+    try:
+        remap(spark.range(1), ".a = 1")
+        assert spark.conf.get(key).rstrip("b") == kept
+    finally:
+        spark.conf.unset(key)
