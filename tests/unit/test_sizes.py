@@ -3,9 +3,11 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from eventloom.functions.codecs import lz4_block
 from eventloom.functions.crypto import attempt, crypt, crypt_many, sizes_of
 from eventloom.functions.registry import arrow
 from eventloom.plans.api import remap
@@ -64,3 +66,9 @@ def test_smaller_bounds_of_a_session_are_kept(spark, given, kept):
         assert spark.conf.get(key).rstrip("b") == kept
     finally:
         spark.conf.unset(key)
+
+
+def test_lz4_copies_that_run_into_themselves():
+    for text in (b"a" * 5000, b"abc" * 999 + b"z", bytes(range(256)) * 3 + b"xyxyx" * 77):
+        block = pa.Codec("lz4_raw").compress(text, asbytes=True)
+        assert lz4_block(block, len(text)) == text
