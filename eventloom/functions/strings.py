@@ -313,19 +313,36 @@ def shannon_entropy(ctx, value: Typed, segmentation: Typed):
     return Typed(FLOAT, F.when(n == 0, 0.0).otherwise(F.aggregate(counts, F.lit(0.0), lambda a, c: a - c / n * F.log2(c / n))), value.err)
 
 
+def refused(pattern: str) -> tuple[str, bool] | None:
+    """For a pattern of one class of characters, the class of all others, and whether Java reads it as Python does; None for other patterns."""
+    m = re.fullmatch(r"\[(\^?)((?:[^\[\]\\^&|~-]|[a-z]-[a-z]|[A-Z]-[A-Z]|[0-9]-[0-9]|\\[wWdDsS.\]\[\\^-])+)\]\+?", pattern)
+    if m is None or any(a > b for a, b in re.findall(r"(\w)-(\w)", m[2])):
+        return None
+    return f"[{'' if m[1] else '^'}{m[2]}]", m[2].isascii() and "\\" not in m[2]
+
+
 @fn("sieve", "value:str, permitted_characters:re, replace_single?:str=, replace_repeated?:str=")
 def sieve(ctx, value: Typed, permitted_characters: Typed, replace_single: Typed | None, replace_repeated: Typed | None):
     source = permitted_characters.const
     one, many = need_const(replace_single, "replace_single") or "", need_const(replace_repeated, "replace_repeated") or ""
+    others = refused(source)
+    if others and others[1] and not one and not many:
+        return Typed(STRING, F.regexp_replace(value.col, f"{others[0]}+", ""), value.err)
+
+    def gap(text):
+        return one if len(text) == 1 and text.isascii() else many
 
     def run(v):
+        if others:
+            return python(others[0] + "+").sub(lambda m: gap(m[0]), v)
         out, at = [], 0
         for m in python(source).finditer(v):
-            gap = len(v[at : m.start()].encode())
-            out += ["" if not gap else one if gap == 1 else many, m[0]]
-            at = m.end()
-        gap = len(v[at:].encode())
-        return "".join(out) + ("" if not gap else one if gap == 1 else many)
+            start, end = m.span()
+            if start > at:
+                out.append(gap(v[at:start]))
+            out.append(m[0])
+            at = end
+        return "".join(out) + (gap(v[at:]) if at < len(v) else "")
 
     return arrow(run, STRING, value).with_err(value.err)
 

@@ -3,12 +3,14 @@
 import random
 import time
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from eventloom.functions.codecs import lz4_block
 from eventloom.functions.crypto import attempt, crypt, crypt_many, sizes_of
+from eventloom.functions.patterns import python
 from eventloom.functions.registry import arrow
 from eventloom.plans.api import remap
 from eventloom.plans.typed import INT, STRING, Typed
@@ -72,3 +74,29 @@ def test_lz4_copies_that_run_into_themselves():
     for text in (b"a" * 5000, b"abc" * 999 + b"z", bytes(range(256)) * 3 + b"xyxyx" * 77):
         block = pa.Codec("lz4_raw").compress(text, asbytes=True)
         assert lz4_block(block, len(text)) == text
+
+
+def sieved(text, pattern, one, many):
+    """What sieve() gave before, match by match."""
+    out, at = "", 0
+    for start, end in [m.span() for m in python(pattern).finditer(text)] + [(len(text), len(text))]:
+        gap = len(text[at:start].encode())
+        out += ("" if not gap else one if gap == 1 else many) + text[start:end]
+        at = end
+    return out
+
+
+TEXTS = ["", "a", "Z", "abc def", "ab\n\nC d", "é", "aéb", "a😀😀b", "[x]-y^z&&w|~", "tail Éß", "x\u2028y", "0-9 A_b.c\\d", "ǅ ſ K"]
+
+
+@pytest.mark.parametrize("pattern", ["[a-z ]", "[a-z ]+", "[^a-z ]", "[0-9A-F.,é]", r"[\w.]", r"[^\s\]]+", "[a-z&&[aeiou]]", "[a-z--[aeiou]]", "ab|c", "a?", "(a)b", "[-a]", "[a-]", "(?i)[a-c]", "[k-]"])
+def test_sieve_by_classes(spark, pattern):
+    df = spark.createDataFrame(pd.DataFrame({"t": TEXTS}))
+    for one, many in (("", ""), ("*", "<>"), ("", "$1")):
+        out = remap(df, f".a = sieve(.t, r'{pattern}', replace_single: \"{one}\", replace_repeated: \"{many}\")").collect()
+        assert {r.t: r.a for r in out} == {t: sieved(t, pattern, one, many) for t in TEXTS}
+
+
+def test_sieve_of_a_plain_class_needs_no_python(spark, capsys):
+    remap(spark.createDataFrame(pd.DataFrame({"t": TEXTS})), ".a = sieve(.t, r'[a-z ]')").select("a").explain()
+    assert "Python" not in capsys.readouterr().out
