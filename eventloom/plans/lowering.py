@@ -203,6 +203,8 @@ class Lowering:
         return v
 
     def get_any(self, v: Typed, p: str | int) -> Typed:
+        if isinstance(p, str) and p and not set(p) & set("'?"):
+            return Typed(ANY, F.try_variant_get(v.col, f"$['{p}']", "variant"), v.err)
         if isinstance(p, str):
             return Typed(ANY, F.try_element_at(F.try_variant_get(v.col, "$", "map<string,variant>"), F.lit(p)), v.err)
         return Typed(ANY, F.try_element_at(F.try_variant_get(v.col, "$", "array<variant>"), F.lit(p + 1 if p >= 0 else p)), v.err)

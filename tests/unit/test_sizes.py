@@ -1,19 +1,23 @@
 """What large tables need: batches worked out at once, bounded memory, and time for each row; with the results of the row's own functions."""
 
+import json
 import random
 import time
 
 import pandas as pd
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from eventloom.functions import grok
 from eventloom.functions.codecs import lz4_block
 from eventloom.functions.crypto import attempt, crypt, crypt_many, sizes_of
+from eventloom.functions.parsers import SYSLOG_5424, syslog
 from eventloom.functions.patterns import python
-from eventloom.functions.registry import arrow
+from eventloom.functions.registry import FUNCTIONS, arrow
 from eventloom.plans.api import remap
-from eventloom.plans.typed import INT, STRING, Typed
+from eventloom.plans.typed import ANY, INT, STRING, Typed
 
 from test_functions import CIPHERS
 
@@ -100,3 +104,51 @@ def test_sieve_by_classes(spark, pattern):
 def test_sieve_of_a_plain_class_needs_no_python(spark, capsys):
     remap(spark.createDataFrame(pd.DataFrame({"t": TEXTS})), ".a = sieve(.t, r'[a-z ]')").select("a").explain()
     assert "Python" not in capsys.readouterr().out
+
+
+def per_row(run, text):
+    run(text)
+    began = time.process_time()
+    for _ in range(500):
+        run(text)
+    return time.process_time() - began
+
+
+def run_of(monkeypatch, name, *args):
+    """The Python function of a function's Arrow node."""
+    got = []
+    monkeypatch.setattr(grok, "arrow", lambda run, *_: got.append(run) or Typed(STRING, F.lit("")))
+    FUNCTIONS[name].lower(None, Typed(STRING, None), *args)
+    return got[0]
+
+
+def test_grok_filters_read_their_arguments_once(spark, monkeypatch):
+    rule = '%{date("yyyy-MM-dd"):f} %{data:g:array("[]", ",", integer)} %{data::keyvalue}'
+    run = run_of(monkeypatch, "parse_groks", Typed(ANY, None, const=[rule]), None, None)
+    assert json.loads(run("2020-03-01 [1,2] k=v")) == {"f": 1583020800000, "g": [1, 2], "k": "v"}
+    monkeypatch.setattr(grok, "date_layout", None)
+    monkeypatch.setattr(grok, "arguments", None)
+    assert json.loads(run("2020-02-30 [1,x] k=5")) == {"k": 5}
+
+
+def test_grok_takes_no_more_than_some_matches_a_row(spark, monkeypatch):
+    run = run_of(monkeypatch, "parse_groks", Typed(ANY, None, const=["%{integer:bad}", "%{word:kind} %{integer:user.id} %{data::keyvalue}"]), None, None)
+    match = regex.compile(r"\A(\w+) (\d+) (.*?)\Z").match
+    assert per_row(run, "purchase 55 k=v") < 40 * per_row(match, "purchase 55 k=v")
+
+
+def test_syslog_patterns_are_made_once():
+    assert json.loads(syslog('<165>1 - h a 7 - [x k="a\\"b"] m')) == {"facility": "local4", "severity": "notice", "version": 1, "hostname": "h", "appname": "a", "procid": 7, "x": {"k": 'a"b'}, "message": "m"}
+    assert SYSLOG_5424('1 - - - - - [a b="' + "\\\\" * 5000 + "x") is None
+
+
+@pytest.mark.parametrize("text, want", [('{"a": "x"}', "x"), ('{"a": null}', None), ('{"a": 5}', None), ('{"b": 1}', None), ("[1]", None)])
+def test_fields_of_variants(spark, text, want):
+    df = spark.createDataFrame(pd.DataFrame({"t": [text]}))
+    row = remap(df, "o = parse_json!(.t)\n.s, .err = string(o.a)\n.q = o.\"it's\"", status=False).first()
+    assert (row.s or None) == want and (row.err is None) == (want is not None) and row.q is None
+
+
+def test_fields_of_variants_are_looked_up_by_path(spark, capsys):
+    remap(spark.createDataFrame(pd.DataFrame({"t": ["{}"]})), "o = parse_json!(.t)\n.s = string!(o.a)").select("s").explain()
+    assert "map<string,variant>" not in (plan := capsys.readouterr().out) and "MapType" not in plan
